@@ -29,7 +29,7 @@ COMMON_BYTES = 7
 GUARD_CHARS = 200
 GUARD_WORDS = 40
 #: Largest distances of kept documents.
-MAX_CLASS_DISTANCE = 0.30
+MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.85
 #: Entries after which a task hands on its partial word counts.
 FLUSH = 2_000_000

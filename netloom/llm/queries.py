@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import langid, prefixes, quality, simhash, suffixes, toxicity
+from netloom.llm import langid, mixing, prefixes, quality, secrets, simhash, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -50,9 +58,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op3_suffixes": op3_suffixes,
     "op4_simhash": op4_simhash,
+    "op6_secrets": op6_secrets,
+    "op7_mixing": op7_mixing,
     "op8_prefixes": op8_prefixes,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_secrets": secrets.oracle(), "op7_mixing": mixing.SQL}
