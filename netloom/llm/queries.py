@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import langid, mixing, prefixes, quality, secrets, simhash, suffixes, toxicity
+from netloom.llm import langid, mixing, prefixes, quality, secrets, simhash, suffixes, toxicity, urls, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).drop("cosine")
 
 
+def op2_linkrank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -34,6 +38,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -56,8 +64,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_linkrank": op2_linkrank,
     "op3_suffixes": op3_suffixes,
     "op4_simhash": op4_simhash,
+    "op5_wrapper": op5_wrapper,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
     "op8_prefixes": op8_prefixes,
