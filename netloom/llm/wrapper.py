@@ -1,7 +1,7 @@
 """Main-text extraction by wrapper induction.
 
-A page is parsed into a tree. Its skeleton keeps block elements with a hash of their text; equal neighbours (list
-items, paragraphs) become one iterator. A few reference skeletons represent each host, and every page is aligned with
+A page is parsed into a tree. Its skeleton keeps block elements with a hash of their text; neighbouring list
+items or paragraphs become one iterator. A few reference skeletons represent each host, and every page is aligned with
 them by simple tree matching: nodes that are matched and have the same text are constant, hence template; nodes that
 vary are slots. Boilerplate roles (menus, adverts, forms, comments and so on) are no content even where they vary.
 
@@ -27,7 +27,7 @@ from netloom.plans.durable import durable
 
 SLOTS = 3
 #: Cells of one alignment of two child lists; longer lists are matched in order of their labels.
-CELLS = 40_000
+CELLS = 2_500
 #: A reference sharing more of a page's text than this is its copy and tells nothing about the template.
 COPY_SHARE = 0.5
 #: A block outside an article whose text is in links to at least this share is a menu.
@@ -203,8 +203,8 @@ def skeleton(node: Node, depth: int = 0) -> Shape:
             else:
                 one = skeleton(x, depth + 1)
             last = children[-1] if children else None
-            if last and last.label == one.label:
-                # an iterator: neighbours of one kind
+            if last and x.tag in PROSE and last.label == one.label:
+                # an iterator: neighbouring paragraphs or items of one kind
                 last.text = zlib.crc32(one.text.to_bytes(4, "big"), last.text)
                 last.size += one.size
                 last.children = []
@@ -308,6 +308,16 @@ def _containers(root: Node) -> list[Node]:
     return found[::-1]
 
 
+def _has_prose(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if x.tag in PROSE or x.tag in CONTAINERS:
+            return True
+        todo.extend(c for c in x.children if isinstance(c, Node))
+    return False
+
+
 def _is_menu(node: Node) -> bool:
     if node.tag not in ("ul", "ol", "div", "table", "section", "p"):
         return False
@@ -338,7 +348,8 @@ def extract(html: str | None, refs: list[str] | None) -> str:
     def skip_inside(n: Node) -> bool:
         if is_boilerplate(n):
             return True
-        return bool(n.constant) and n.tag not in PROSE and n.tag not in CONTAINERS
+        # an article's own paragraphs and lists stay even where other pages have the same
+        return bool(n.constant) and n.tag not in CONTAINERS and not _has_prose(n)
 
     def skip_outside(n: Node) -> bool:
         return is_boilerplate(n) or n.tag == "header" or bool(n.constant) or _is_menu(n)
