@@ -15,6 +15,11 @@ POINT = "struct<x: double, y: double>"
 POLYLINE = f"array<{POINT}>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -34,8 +39,8 @@ def clean(line: Column) -> Column:
     """
     first = F.slice(line, 1, 1)
     kept = F.aggregate(line, first, lambda acc, p: F.when(_squared(F.element_at(acc, -1), p) > REPEAT_SQUARED, F.concat(acc, F.array(p))).otherwise(acc))
-    good = F.forall(line, lambda p: finite(p["x"]) & finite(p["y"]))
-    return F.when((F.size(line) >= 2) & good & (F.size(kept) >= 2) & (length(kept) > SHORTEST), kept)
+    good = (F.size(line) >= 2) & F.forall(line, lambda p: finite(p["x"]) & finite(p["y"]))
+    return F.when(good, let(kept, lambda k: F.when((F.size(k) >= 2) & (length(k) > SHORTEST), k)))
 
 
 def steps(line: Column) -> Column:
@@ -73,41 +78,49 @@ def total(segments: Column) -> Column:
 
 def along(segments: Column, distance: Column) -> Column:
     """The point at an arc length; at a bend the later segment is used."""
-    found = F.filter(segments, lambda s: s["start"] <= distance)
-    s = F.coalesce(F.try_element_at(found, F.lit(-1)), F.element_at(segments, 1))
-    share = (distance - s["start"]) / s["len"]
-    return point(s["sx"] + share * s["vx"], s["sy"] + share * s["vy"])
+    found = F.coalesce(F.try_element_at(F.filter(segments, lambda s: s["start"] <= distance), F.lit(-1)), F.element_at(segments, 1))
+
+    def at(s: Column) -> Column:
+        share = (distance - s["start"]) / s["len"]
+        return point(s["sx"] + share * s["vx"], s["sy"] + share * s["vy"])
+
+    return let(found, at)
+
+
+def _at_fraction(line: Column, segs: Column, fraction: Column) -> Column:
+    d = fraction * total(segs)
+    return F.when(d <= 0, F.element_at(line, 1)).when(d >= total(segs), F.element_at(line, -1)).otherwise(along(segs, d))
 
 
 def point_at_fraction(line: Column, fraction: Column) -> Column:
     """The point at a share of the arc length; an error unless the share is from 0 to 1."""
-    segs = measured(line)
-    d = fraction * total(segs)
     valid = finite(fraction) & (fraction >= 0) & (fraction <= 1)
-    inner = F.when(d <= 0, F.element_at(line, 1)).when(d >= total(segs), F.element_at(line, -1)).otherwise(along(segs, d))
-    return F.when(valid, inner).otherwise(F.raise_error(F.lit("a fraction must be from 0 to 1")).cast(POINT))
+    return F.when(valid, let(measured(line), lambda segs: _at_fraction(line, segs, fraction))).otherwise(F.raise_error(F.lit("a fraction must be from 0 to 1")).cast(POINT))
 
 
 def subpolyline(line: Column, start: Column, stop: Column) -> Column:
     """The part between two shares of the arc length, with the bends strictly between them."""
-    segs = measured(line)
-    a, b = start * total(segs), stop * total(segs)
-    inner = F.filter(segs, lambda s: (s["start"] > a) & (s["start"] < b))
-    middle = F.transform(inner, lambda s: point(s["sx"], s["sy"]))
+
+    def part(segs: Column) -> Column:
+        a, b = start * total(segs), stop * total(segs)
+        middle = F.transform(F.filter(segs, lambda s: (s["start"] > a) & (s["start"] < b)), lambda s: point(s["sx"], s["sy"]))
+        return F.concat(F.array(_at_fraction(line, segs, start)), middle, F.array(_at_fraction(line, segs, stop)))
+
     valid = (start >= 0) & (start < stop) & (stop <= 1)
-    part = F.concat(F.array(point_at_fraction(line, start)), middle, F.array(point_at_fraction(line, stop)))
-    return F.when(valid, part).otherwise(F.raise_error(F.lit("a part needs 0 <= start < stop <= 1")).cast(POLYLINE))
+    return F.when(valid, let(measured(line), part)).otherwise(F.raise_error(F.lit("a part needs 0 <= start < stop <= 1")).cast(POLYLINE))
 
 
 def resample(line: Column, samples: int) -> Column:
     """``samples`` (2 at least) points at equal steps of arc length; both ends are exact."""
     n = max(2, samples)
-    segs = measured(line)
 
-    def at(i: Column) -> Column:
-        return F.when(i == 0, F.element_at(line, 1)).when(i == n - 1, F.element_at(line, -1)).otherwise(along(segs, i * total(segs) / F.lit(float(n - 1))))
+    def every(segs: Column) -> Column:
+        def at(i: Column) -> Column:
+            return F.when(i == 0, F.element_at(line, 1)).when(i == n - 1, F.element_at(line, -1)).otherwise(along(segs, i * total(segs) / F.lit(float(n - 1))))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+    return let(measured(line), every)
 
 
 def reverse(line: Column) -> Column:

@@ -491,3 +491,29 @@ def evaluate_mapping(mapping: DataFrame, costs_of: Callable[[DataFrame], DataFra
         off = mapping.join(sets, ["pair_id", "source_vertex", "target_vertex"], "left_anti").groupBy("pair_id").agg(F.array_sort(F.collect_list("source_vertex")).alias(name))
         out = out.join(off, "pair_id", "left").withColumn(name, F.coalesce(name, F.expr("cast(array() as array<bigint>)")))
     return out
+
+
+# --- relational forms of single kernels, for many rows at once --------------------------------------------------------
+
+
+def corridor_weights(pairs: DataFrame, vertices: DataFrame, edges: DataFrame, rho: float = 10.0, edge_samples: int = 12) -> DataFrame:
+    """(pair_id, source_edge, edge_id, weight): a target edge's length times its share of samples beyond ``rho`` of the
+    source edge's line, and a millionth of its length more, so that of equal routes the shorter wins."""
+    source = oriented_source(pairs, vertices, edges).select("pair_id", F.col("edge_id").alias("source_edge"), F.explode(geo.measured(F.col("line"))).alias("s"))
+    points = pairs.select("pair_id", F.col("target").alias("graph")).join(edges, "graph").select("pair_id", "edge_id", geo.length(F.col("polyline")).alias("length"), F.posexplode(geo.resample(F.col("polyline"), edge_samples)).alias("i", "p"))
+    s = F.col("s")
+    d2 = geo.squared_distance(F.col("p.x"), F.col("p.y"), s["sx"], s["sy"], s["vx"], s["vy"], s["len"] * s["len"])
+    near = points.join(source, "pair_id").groupBy("pair_id", "source_edge", "edge_id", "length", "i").agg(F.min(d2).alias("d2"))
+    share = F.avg((F.sqrt("d2") > rho).cast("double"))
+    return near.groupBy("pair_id", "source_edge", "edge_id", "length").agg((share * F.col("length") + F.lit(kernels.LENGTH_TIE_BREAK) * F.col("length")).alias("weight")).drop("length")
+
+
+def curve_costs(curves: DataFrame, cost: Cost) -> DataFrame:
+    """``curves`` (line_a, line_b and any other columns) with ``value``: a curve cost of given pairs of lines."""
+    from pyspark.sql import types as T
+
+    @F.arrow_udf(T.DoubleType())
+    def valued(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([float(cost.of(x, [y])[0]) for x, y in zip(_lines(a), _lines(b), strict=True)], pa.float64())
+
+    return curves.withColumn("value", valued(F.col("line_a"), F.col("line_b")))
