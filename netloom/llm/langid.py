@@ -48,7 +48,11 @@ def trigram_vectors(a: np.ndarray, b: np.ndarray, c: np.ndarray, dim: int = DIM)
     letter = signs(codes, dim)
     first, second = np.roll(letter, 2, axis=1), np.roll(letter, 1, axis=1)
     i, j, k = which.reshape(3, -1)
-    return first[i] * second[j] * letter[k]
+    out = first[i]
+    for at in range(0, len(out), 1024):
+        out[at : at + 1024] *= second[j[at : at + 1024]]
+        out[at : at + 1024] *= letter[k[at : at + 1024]]
+    return out
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,6 +96,12 @@ def bundles(texts: list[str | None], dim: int = DIM) -> Iterator[tuple[int, np.n
         i = j
 
 
+def batches_of(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of a column in runs of about a megabyte, so that few Python strings exist at once."""
+    for i, j, _, _ in arrays.slices(column, arrays.SLICE_BYTES // 4):
+        yield i, column.slice(i, j - i).to_pylist()
+
+
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key)
     ordered = key[order]
@@ -122,9 +132,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dim: in
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
-            for first, vectors in bundles(batch.column(1).to_pylist(), dim):
+            for start, first, vectors in ((i, k, v) for i, texts in batches_of(batch.column(1)) for k, v in bundles(texts, dim)):
                 vectors = unit(vectors)
-                mine = langs[first : first + len(vectors)]
+                mine = langs[start + first : start + first + len(vectors)]
                 for lang in set(mine):
                     total[lang] = total.get(lang, 0) + vectors[mine == lang].sum(axis=0, dtype=np.float64)
         if total:
@@ -154,7 +164,7 @@ def predictor(spark, prototypes: dict[str, np.ndarray], dim: int = DIM):
         names, matrix = sent.value
         for column in texts:
             langs, scores, cosines = [], [], []
-            for _, vectors in bundles(column.to_pylist(), dim):
+            for vectors in (v for _, texts in batches_of(column) for _, v in bundles(texts, dim)):
                 some = vectors.any(axis=1) & bool(names)
                 if not names:
                     langs += [UNKNOWN] * len(vectors)
