@@ -21,7 +21,7 @@ WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix holds, and the most epochs of a source.
 TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2
-CELL_ROWS = 20_000
+CELL_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
