@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netloom.functions import geometry as geo
 from netloom.functions import kernels
 from netloom.operators import prepare
-from netloom.operators.components import connected_components
+from netloom.operators.components import AT_ONCE, connected_components
 from netloom.sources import graph_text, results
 
 V = "graph string, vertex_id long, x double, y double"
@@ -111,8 +111,25 @@ def test_components_against_union_find(spark):
         if b is not None and a != b:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
-    assert got == {x: find(x) for x in root}
+    df = spark.createDataFrame(pairs, "u long, v long")
+    for at_once in (AT_ONCE, 0):
+        assert {r.node: r.component for r in connected_components(df, at_once=at_once).collect()} == {x: find(x) for x in root}
+    named = df.select(F.struct(F.lit("g").alias("g"), F.col("u").alias("i")).alias("u"), F.struct(F.lit("g").alias("g"), F.col("v").alias("i")).alias("v")).where("v.i is not null")
+    assert {r.node.i: r.component.i for r in connected_components(named).collect()} == {x: find(x) for x in root}
+
+
+def test_local_contraction_in_runs(monkeypatch):
+    import pyarrow as pa
+
+    from netloom.operators import components
+
+    monkeypatch.setattr(components, "AT_ONCE", 3)
+    batches = [pa.RecordBatch.from_pydict({"u": [k + 1], "v": [k]}) for k in range(10)]
+    out = [r for b in components._forest(iter(batches)) for r in b.to_pylist()]
+    assert {(r["u"], r["v"]) for r in out} == {(k + 1, 3 * (k // 3)) for k in range(10)}
+
+
+def test_no_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
