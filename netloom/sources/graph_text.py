@@ -88,9 +88,13 @@ def parse(files: DataFrame) -> DataFrame:
 def raw_graphs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(raw_vertex, raw_edge) of all files; a file with a problem is an error that names it."""
     read = parse(files)
-    checked = read.select("graph", F.when(F.col("error").isNull(), F.col("vertices")).otherwise(F.raise_error(F.concat("graph", F.lit(": "), "error")).cast(f"array<{_VERTEX}>")).alias("vertices"),
-                          F.when(F.col("error").isNull(), F.col("edges")).otherwise(F.raise_error(F.concat("graph", F.lit(": "), "error")).cast(f"array<{_EDGE}>")).alias("edges"))
-    return checked.select("graph", F.inline("vertices")), checked.select("graph", F.inline("edges"))
+
+    def checked(name: str, kind: str) -> Column:
+        # each column is named once, so that the optimizer does not copy its long expression
+        both = F.struct(F.col("graph").alias("g"), F.col(name).alias("found"), F.col("error").alias("e"))
+        return geo.let(both, lambda r: F.when(r["e"].isNull(), r["found"]).otherwise(F.raise_error(F.concat(r["g"], F.lit(": "), r["e"])).cast(f"array<{kind}>")))
+
+    return read.select("graph", F.inline(checked("vertices", _VERTEX))), read.select("graph", F.inline(checked("edges", _EDGE)))
 
 
 def to_text(vertices: DataFrame, edges: DataFrame) -> DataFrame:
