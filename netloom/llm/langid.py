@@ -23,7 +23,7 @@ DIM = 1024
 #: Rows of each language, on average, from which its prototype is learned; all if it has fewer.
 FIT_ROWS = 20_000
 #: Cells of a block's count matrix, 4 bytes each.
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 1_000_000
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
