@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.llm import arrays
+from netloom.plans.durable import durable
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -119,7 +120,8 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
         for lang, n in classes.items():
             yield _rows(lang, -1 - np.arange(CLASSES), n)
 
-    counts = rows.mapInArrow(counted, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
+    # read three times below
+    counts = durable(rows.mapInArrow(counted, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")))
     top = counts.where("k > 0").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "k"))).where(F.col("nth") <= COMMON_WORDS).drop("nth")
     rest = counts.where("k >= 0").groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(0).cast("long").alias("k"), "n")
     found: dict[str, dict[int, int]] = {}
