@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-SQL: dict[str, str] = {"op6_secrets": secrets.oracle(), "op7_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op3_suffixes": suffixes.SQL, "op6_secrets": secrets.oracle(), "op7_mixing": mixing.SQL}
