@@ -71,8 +71,11 @@ def _select(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     return np.sort(distinct[good])
 
 
-def fit_rows(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Adam over the whole sample with the non-negative risk; where the negative part falls below 0 its gradient is undone."""
+def fit_rows(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, ridge: float = 0.015) -> Model:
+    """Adam over the whole sample with the non-negative risk; where the negative part falls below 0 its gradient is undone.
+
+    The weights' penalty is ``ridge`` for each positive row, so that words of few rows count as much in any sample.
+    """
     words = _select(rows, positive)
     m = len(words)
     n_p, n_u = int(positive.sum()), int((~positive).sum())
@@ -84,6 +87,7 @@ def fit_rows(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps:
     on = words[slot] == all_words
     row, slot = row[on], slot[on]
     prior = min(max(prior, 1e-4), 0.9999)
+    decay = ridge / n_p
     w, b = np.zeros(m), float(np.log(prior / (1 - prior)))
     first, second = np.zeros(m + 1), np.zeros(m + 1)
     for step in range(1, steps + 1):
