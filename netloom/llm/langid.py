@@ -25,6 +25,8 @@ FIT_ROWS = 20_000
 #: Cells of a block's count matrix, 4 bytes each.
 BLOCK_CELLS = 1_000_000
 UNKNOWN = "und"
+#: A prototype of each language is held by the driver and sent to all workers; more values are an error.
+MOST_LANGUAGES = 4096
 
 _letters: list[np.ndarray] = []
 
@@ -69,7 +71,7 @@ def bundles(texts: list[str | None], dim: int = DIM) -> Iterator[tuple[int, np.n
     i = 0
     while i < len(clean):
         j, size = i, 0
-        while j < len(clean) and (j == i or size + len(clean[j]) <= arrays.SLICE_BYTES // 4):
+        while j < len(clean) and (j == i or size + len(clean[j]) <= arrays.SLICE_BYTES // 2):
             size += len(clean[j]) + 1
             j += 1
         codes, doc = _trigrams(clean[i:j])
@@ -98,7 +100,7 @@ def bundles(texts: list[str | None], dim: int = DIM) -> Iterator[tuple[int, np.n
 
 def batches_of(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of a column in runs of about a megabyte, so that few Python strings exist at once."""
-    for i, j, _, _ in arrays.slices(column, arrays.SLICE_BYTES // 4):
+    for i, j, _, _ in arrays.slices(column, arrays.SLICE_BYTES // 2):
         yield i, column.slice(i, j - i).to_pylist()
 
 
@@ -122,9 +124,11 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dim: in
     summed in the tasks, so that one vector for each language and task is shuffled.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not known:
         return {}
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"the language column has more than {MOST_LANGUAGES} values")
     shares = F.create_map(*[x for lang, n in known.items() for x in (F.lit(lang), F.lit(min(1.0, fit_rows / n)))])
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < shares[F.col("lang")] * (1 << 20))
 
