@@ -4,6 +4,9 @@ A language's reference is a histogram of character classes and one of its most c
 that are known to be of the language. A document's histograms are compared with those of each language by the
 Jensen-Shannon distance (base 2, from 0 to 1); the nearest language counts. Documents with too little text for a
 histogram pass this test.
+
+Common words are only a part of a language's words, so even a text without any has a distance far below 1. The limit of
+the word distance is therefore a share of that distance, which is larger for shorter texts, whose histograms are noisier.
 """
 
 from __future__ import annotations
@@ -29,9 +32,12 @@ COMMON_BYTES = 7
 #: Guards: fewer characters or words than these are not compared.
 GUARD_CHARS = 200
 GUARD_WORDS = 40
-#: Largest distances of kept documents.
+#: Largest class distance of kept documents.
 MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.85
+#: Largest word distance of kept documents, as a share of the distance of a text without common words: WORD_SHARE, and
+#: WORD_NOISE over the root of the number of common words that a text of the language has at this length.
+WORD_SHARE = 0.7
+WORD_NOISE = 1.2
 #: Entries after which a task hands on its partial word counts.
 FLUSH = 2_000_000
 
@@ -159,8 +165,16 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (a + b) / 2))
 
 
-def distances(raw: np.ndarray, at: np.ndarray, ref: Reference) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(characters, smallest class distance, smallest word distance) of each text; 0 where nothing can be compared."""
+def word_limits(shares: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The largest word distance from a language's ``shares`` for texts of ``total`` words."""
+    without = np.zeros(len(shares))
+    without[-1] = 1
+    expected = (1 - shares[-1]) * np.maximum(1, total)
+    return js_distance(without, shares) * (WORD_SHARE + WORD_NOISE / np.sqrt(np.maximum(1e-9, expected)))
+
+
+def distances(raw: np.ndarray, at: np.ndarray, ref: Reference) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(characters, smallest class distance, smallest word distance, 1 if all word distances are beyond their limits) of each text; 0 where nothing can be compared."""
     n = len(at) - 1
     classes = class_counts(raw, at)
     chars = classes.sum(axis=1)
@@ -169,6 +183,7 @@ def distances(raw: np.ndarray, at: np.ndarray, ref: Reference) -> tuple[np.ndarr
     total = np.diff(first)
     doc = np.repeat(np.arange(n), total)
     by_class, by_word = np.ones((len(ref.langs) or 1, n)), np.ones((len(ref.langs) or 1, n))
+    strange = np.ones(n, bool)
     for k in range(len(ref.langs)):
         by_class[k] = js_distance(share, ref.classes[k])
         keys = ref.words[k]
@@ -177,8 +192,12 @@ def distances(raw: np.ndarray, at: np.ndarray, ref: Reference) -> tuple[np.ndarr
             slot = np.where(keys[slot] == packed, slot, len(keys))
             counts = np.bincount(doc * (len(keys) + 1) + slot, minlength=n * (len(keys) + 1)).reshape(n, -1)
             by_word[k] = js_distance(counts / np.maximum(1, total)[:, None], ref.shares[k])
+            strange &= by_word[k] > word_limits(ref.shares[k], total)
+        else:
+            # nothing is known of its words
+            strange[:] = False
     some = bool(ref.langs)
-    return chars, np.where((chars > 0) & some, by_class.min(axis=0), 0.0), np.where((total > 0) & some, by_word.min(axis=0), 0.0)
+    return chars, np.where((chars > 0) & some, by_class.min(axis=0), 0.0), np.where((total > 0) & some, by_word.min(axis=0), 0.0), ((total > 0) & some & strange).astype(np.int64)
 
 
 def _repeated(key: np.ndarray) -> np.ndarray:
@@ -233,7 +252,7 @@ def base_counts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 _LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_RESULT = T.StructType([T.StructField(c, T.LongType()) for c in _LONGS] + [T.StructField("class_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType()), T.StructField("n_chars", T.LongType())])
+_RESULT = T.StructType([T.StructField(c, T.LongType()) for c in _LONGS] + [T.StructField("class_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType()), T.StructField("n_chars", T.LongType()), T.StructField("strange", T.LongType())])
 
 
 def measured(spark, ref: Reference):
@@ -245,10 +264,10 @@ def measured(spark, ref: Reference):
         for column in texts:
             parts = []
             for _, _, raw, at in arrays.slices(column):
-                chars, by_class, by_word = distances(raw, at, sent.value)
-                parts.append((*base_counts(raw, at), by_class, by_word, chars))
-            merged = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0)] * 8
-            kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.int64()]
+                chars, by_class, by_word, strange = distances(raw, at, sent.value)
+                parts.append((*base_counts(raw, at), by_class, by_word, chars, strange))
+            merged = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0)] * 9
+            kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.int64()] * 2
             yield pa.StructArray.from_arrays([pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(merged, kinds, strict=True)], _RESULT.names)
 
     return measures
@@ -264,7 +283,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col), measured(docs.sparkSession, ref)(F.col(text_col)).alias("_m")).select(id_col, "_m.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     compared = (F.col("n_chars") >= GUARD_CHARS) & (F.col("n_words") >= GUARD_WORDS)
-    far = compared & ((F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE))
+    far = compared & ((F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("strange") == 1))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far).select(id_col, *_LONGS, "base_failed", "kept", "class_distance", "word_distance")
 
 

@@ -491,6 +491,19 @@ def test_quality_divergence(spark):
     assert all(got[k] for k in range(60)) and got[102] and not got[100] and not got[101]
 
 
+def test_quality_rejects_wrong_words(spark):
+    rng = random.Random(12)
+    common, rare = ["the", "of", "and", "to", "in"], [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+
+    def text(share, n=120):
+        return " ".join(rng.choice(common) if rng.random() < share else "".join(rng.sample(rng.choice(rare), 6)) for _ in range(n)) + "."
+
+    rows = [(k, text(0.4, rng.choice([45, 80, 120, 400])), "en", None, 0) for k in range(200)] + [(300 + k, text(0), None, None, 0) for k in range(5)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[k].kept for k in range(200))
+    assert all(not got[k].kept and not got[k].base_failed and got[k].class_distance <= quality.MAX_CLASS_DISTANCE for k in range(300, 305))
+
+
 def test_js_distance():
     assert quality.js_distance(np.array([[1.0, 0], [0.5, 0.5]]), np.array([0.5, 0.5])).round(4).tolist() == [0.5579, 0.0]
     assert quality.js_distance(np.array([[1.0, 0]]), np.array([0.0, 1]))[0] == 1
