@@ -15,6 +15,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -26,8 +28,10 @@ from netloom.llm.urls import host_of
 from netloom.plans.durable import durable
 
 SLOTS = 3
-#: Cells of one alignment of two child lists; longer lists are matched in order of their labels.
+#: Cells of one alignment of two child lists; longer lists are first cut at equal blocks, and what is still longer is matched in order of labels.
 CELLS = 2_500
+#: Weights of a matched node, and of the equality of its text.
+NODE, SAME = 4, 1
 #: A reference sharing more of a page's text than this is its copy and tells nothing about the template.
 COPY_SHARE = 0.5
 #: A block outside an article whose text is in links to at least this share is a menu.
@@ -172,12 +176,13 @@ def _gather(node: Node, parts: list[str], skip) -> None:
 
 
 class Shape:
-    """A skeleton node: label, hash and length of its text, block children, and the tree nodes that it stands for."""
+    """A skeleton node: label, hash and length of its text, block children, the tree nodes that it stands for, and the skeleton nodes of its subtree."""
 
-    __slots__ = ("label", "text", "size", "children", "nodes")
+    __slots__ = ("label", "text", "size", "children", "nodes", "count")
 
     def __init__(self, label: str, text: int, size: int, children: list[Shape], nodes: list[Node]):
         self.label, self.text, self.size, self.children, self.nodes = label, text, size, children, nodes
+        self.count = 1 + sum(c.count for c in children)
 
 
 DEPTH = 40
@@ -207,7 +212,7 @@ def skeleton(node: Node, depth: int = 0) -> Shape:
                 # an iterator: neighbouring paragraphs or items of one kind
                 last.text = zlib.crc32(one.text.to_bytes(4, "big"), last.text)
                 last.size += one.size
-                last.children = []
+                last.children, last.count = [], 1
                 last.nodes += one.nodes
             else:
                 children.append(one)
@@ -219,21 +224,37 @@ def skeleton(node: Node, depth: int = 0) -> Shape:
 
 
 def packed(shape: Shape) -> list:
-    return [shape.label, shape.text, [packed(c) for c in shape.children]]
+    return [shape.label, shape.text, [packed(c) for c in shape.children], shape.count]
 
 
 def match(ref: list, shape: Shape, constant: list[Shape]) -> int:
-    """Simple tree matching: the most matched nodes of an order-preserving mapping; lists matched nodes of equal text."""
+    """Simple tree matching: the weight of the heaviest order-preserving mapping; lists matched nodes of equal text.
+
+    A matched node weighs NODE, and SAME more if its text is equal: of mappings with as many nodes, that with more equal
+    ones counts. An equal subtree has all its nodes matched.
+    """
     if ref[0] != shape.label:
         return 0
     if ref[1] == shape.text:
         constant.append(shape)
-        return 1
-    a, b = ref[2], shape.children
+        return (NODE + SAME) * min(ref[3], shape.count)
+    return NODE + _match_lists(ref[2], shape.children, constant)
+
+
+def _match_lists(a: list, b: list[Shape], constant: list[Shape]) -> int:
     if not a or not b:
-        return 1
+        return 0
     if len(a) * len(b) > CELLS:
-        return 1 + _in_order(a, b, constant)
+        anchors = _anchors(a, b)
+        if not anchors:
+            return _in_order(a, b, constant)
+        total, i, j = 0, 0, 0
+        for p, q in [*anchors, (len(a), len(b))]:
+            total += _match_lists(a[i:p], b[j:q], constant)
+            if p < len(a):
+                total += match(a[p], b[q], constant)
+            i, j = p + 1, q + 1
+        return total
     weight: dict[tuple[int, int], tuple[int, list[Shape]]] = {}
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
@@ -254,7 +275,36 @@ def match(ref: list, shape: Shape, constant: list[Shape]) -> int:
         else:
             constant += weight[i - 1, j - 1][1]
             i, j = i - 1, j - 1
-    return 1 + best[-1][-1]
+    return best[-1][-1]
+
+
+def _anchors(a: list, b: list[Shape]) -> list[tuple[int, int]]:
+    """Places of equal blocks in two long lists: equal ends, and between them the longest ascending row of blocks that each list has once."""
+    ka, kb = [(x[0], x[1]) for x in a], [(y.label, y.text) for y in b]
+    lo, most = 0, min(len(ka), len(kb))
+    while lo < most and ka[lo] == kb[lo]:
+        lo += 1
+    tail = 0
+    while tail < most - lo and ka[-1 - tail] == kb[-1 - tail]:
+        tail += 1
+    ends = len(ka) - tail, len(kb) - tail
+    in_a, in_b = Counter(ka[lo : ends[0]]), Counter(kb[lo : ends[1]])
+    place = {k: i for i, k in enumerate(ka[lo : ends[0]], lo) if in_a[k] == 1}
+    pairs = [(place[k], j) for j, k in enumerate(kb[lo : ends[1]], lo) if in_b[k] == 1 and k in place]
+    tops: list[int] = []
+    row: list[int] = []
+    before: list[int] = []
+    for n, (i, _) in enumerate(pairs):
+        at = bisect_left(tops, i)
+        before.append(row[at - 1] if at else -1)
+        tops[at : at + 1] = [i]
+        row[at : at + 1] = [n]
+    middle = []
+    n = row[-1] if row else -1
+    while n >= 0:
+        middle.append(pairs[n])
+        n = before[n]
+    return [(k, k) for k in range(lo)] + middle[::-1] + [(ends[0] + k, ends[1] + k) for k in range(tail)]
 
 
 def _in_order(a: list, b: list[Shape], constant: list[Shape]) -> int:

@@ -317,6 +317,21 @@ def test_copies_of_a_page_are_no_template():
     assert wrapper.extract(p, [wrapper.shape_of(p)] * 3) == "Same Same text in all copies."
 
 
+def constant_texts(ref, html):
+    found = []
+    wrapper.match(wrapper.packed(wrapper.skeleton(wrapper.parse(ref))), wrapper.skeleton(wrapper.parse(html)), found)
+    return {wrapper.plain(n) for s in found for n in s.nodes}
+
+
+def test_equal_blocks_outweigh_varying_ones():
+    menu, article, promo = ("<div><div>{0} a</div><div>{0} b</div><div>{0} c</div></div>".format(x) for x in ("menu", "article", "promo"))
+    assert "menu a menu b menu c" in constant_texts(f"<body>{menu}<div><div>old</div></div></body>", f"<body>{promo}{menu}{article}</body>")
+    long = [f"<div>block {{0}} {k}</div>" for k in range(70)]
+    one, other = "".join(long).format(1), "".join(long).format(2) + "<div>one more</div>"
+    assert "constant footer" in constant_texts(f"<body>{one}<div>constant footer</div></body>", f"<body>{other}<div>constant footer</div></body>")
+    assert "constant middle" in constant_texts(f"<body>{one}<div>constant middle</div>{one}</body>", f"<body>{other}<div>constant middle</div>{other}</body>")
+
+
 @pytest.mark.parametrize("html", ["<", "<p", "<p class=\"x>hello</p><b>", "<script>x", "<div " * 2000, "<div>" * 3000 + "x", "</p>text", "<!-- x", "&#x41;&bogus;", "<table><tr><td>a<tr><td>b</table>"])
 def test_broken_pages(html):
     assert isinstance(wrapper.extract(html, [wrapper.shape_of(html)]), str)
