@@ -152,28 +152,33 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def merged(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A flat forest (each node's root, the first of its component) after links between ``x`` and ``y``.
+
+    Only roots are hooked, always to smaller ones, and the forest is flat before each pass: no earlier link is lost.
+    """
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return root
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(root, flat := root[root]):
+            root = flat
+
+
 def local_roots(fps: np.ndarray, radius: int, block: int = 1024) -> np.ndarray:
     """For each of the sorted distinct fingerprints the index of its component's first; links are within ``radius``."""
     n = len(fps)
     root = np.arange(n)
-    links: list[tuple[np.ndarray, np.ndarray]] = []
     for i in range(0, n, block):
         for j in range(0, i + 1, block):
             x, y = np.nonzero(np.bitwise_count(fps[i : i + block, None] ^ fps[None, j : j + block]) <= radius)
             x, y = x + i, y + j
-            links.append((x[x > y], y[x > y]))
             # one block's links are merged at once: they need not be kept
-            x, y = links.pop()
-            while True:
-                low = np.minimum(root[x], root[y])
-                before = root.copy()
-                np.minimum.at(root, root[x], low)
-                np.minimum.at(root, root[y], low)
-                root = root[root]
-                if np.array_equal(root, before):
-                    break
-    while not np.array_equal(root, root[root]):
-        root = root[root]
+            root = merged(root, x[x > y], y[x > y])
     return root
 
 

@@ -266,6 +266,24 @@ def test_simhash_components(spark, bucket_limit):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == want
 
 
+def test_merged_links_are_never_lost():
+    # graphs that were split when nodes other than roots were hooked
+    for seed in (16164, 74420, 131945, 134526, *range(300)):
+        rng = np.random.default_rng(seed)
+        x, y = rng.integers(0, 60, (2, int(rng.integers(30, 90))))
+        x, y = np.maximum(x, y), np.minimum(x, y)
+        x, y = x[x > y], y[x > y]
+        root, want = np.arange(60), np.arange(60)
+        for i in range(0, 60, 15):
+            for j in range(0, i + 1, 15):
+                on = (x // 15 * 15 == i) & (y // 15 * 15 == j)
+                root = simhash.merged(root, x[on], y[on])
+        for a, b in zip(x, y):
+            a, b = want[a], want[b]
+            want[want == max(a, b)] = min(a, b)
+        assert root.tolist() == want.tolist(), seed
+
+
 def test_covering_masks_cover_every_pair():
     masks = simhash.covering_masks()
     rng = random.Random(0)
