@@ -25,6 +25,8 @@ FIT_ROWS = 20_000
 #: Cells of a block's count matrix, 4 bytes each.
 BLOCK_CELLS = 1_000_000
 UNKNOWN = "und"
+#: Letters from which a low cosine tells that a text is like no learned language; short texts have low ones in any language.
+LEAST_LETTERS = 200
 #: A prototype of each language is held by the driver and sent to all workers; more values are an error.
 MOST_LANGUAGES = 4096
 
@@ -204,11 +206,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.08) -> DataFrame:
-    """``docs`` without rows that have no letter or whose best cosine is below ``least``: texts like no learned language.
+    """``docs`` without rows that are ``und`` or, from ``LEAST_LETTERS`` letters on, have a best cosine below ``least``: texts like no learned language.
 
     If nothing could be learned all rows stay.
     """
     learned = fit(docs.where(~held_out(F.col(id_col))), lang_col, text_col)
     if not learned:
         return docs
-    return docs.where(predictor(docs.sparkSession, learned)(F.col(text_col))["cosine"] >= least)
+    judged = docs.withColumn("_p", predictor(docs.sparkSession, learned)(F.col(text_col)))
+    short = F.length(F.regexp_replace(F.col(text_col), r"\P{L}+", "")) < LEAST_LETTERS
+    return judged.where((F.col("_p.lang_pred") != UNKNOWN) & ((F.col("_p.cosine") >= least) | short)).select(*docs.columns)

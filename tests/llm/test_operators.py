@@ -104,6 +104,16 @@ def test_language_id(spark):
 # --- op2 ----------------------------------------------------------------------------------------------------------
 
 
+def test_short_texts_are_kept(spark):
+    rng = random.Random(8)
+    words = ["the", "and", "with", "thing", "other", "reading"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(60)), "en", None, 0) for k in range(40)]
+    rows += [(100, "Qyx.", "en", None, 0), (101, "\u0436", None, None, 0), (102, "\u0436\u0448\u0449 \u044e\u044f " * 60, None, None, 0), (103, "1 2 3", None, None, 0), (104, None, None, None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [*range(40), 100, 101]
+
+
 def brute_rule(host, path):
     best = None
     for r in urls.RULES:
