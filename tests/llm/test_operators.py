@@ -346,25 +346,114 @@ def test_copies_of_a_page_are_no_template():
 
 
 def constant_texts(ref, html):
-    found = []
-    wrapper.match(wrapper.packed(wrapper.skeleton(wrapper.parse(ref))), wrapper.skeleton(wrapper.parse(html)), found)
-    return {wrapper.plain(n) for s in found for n in s.nodes}
+    pairs = wrapper.Alignment(wrapper.skeleton(wrapper.parse(ref)), wrapper.skeleton(wrapper.parse(html))).pairs()
+    return {wrapper.plain(n) for _, s, same in pairs if same for n in s.nodes}
 
 
 def test_equal_blocks_outweigh_varying_ones():
     menu, article, promo = ("<div><div>{0} a</div><div>{0} b</div><div>{0} c</div></div>".format(x) for x in ("menu", "article", "promo"))
-    assert "menu a menu b menu c" in constant_texts(f"<body>{menu}<div><div>old</div></div></body>", f"<body>{promo}{menu}{article}</body>")
-    long = [f"<div>block {{0}} {k}</div>" for k in range(70)]
+    assert "menu a" in constant_texts(f"<body>{menu}<div><div>old</div></div></body>", f"<body>{promo}{menu}{article}</body>")
+    long = [f"<div>block {{0}} {k}</div>" for k in range(300)]
     one, other = "".join(long).format(1), "".join(long).format(2) + "<div>one more</div>"
     assert "constant footer" in constant_texts(f"<body>{one}<div>constant footer</div></body>", f"<body>{other}<div>constant footer</div></body>")
     assert "constant middle" in constant_texts(f"<body>{one}<div>constant middle</div>{one}</body>", f"<body>{other}<div>constant middle</div>{other}</body>")
 
 
-@pytest.mark.parametrize("html", ["<", "<p", "<p class=\"x>hello</p><b>", "<script>x", "<div " * 2000, "<div>" * 3000 + "x", "</p>text", "<!-- x", "&#x41;&bogus;", "<table><tr><td>a<tr><td>b</table>"])
+def brute_weight(a, b):
+    """The heaviest mapping of two skeletons by plain recursion over prefixes of the child lists."""
+    if a.label != b.label:
+        return 0
+    if a.hash == b.hash:
+        return (wrapper.NODE + wrapper.SAME) * a.count
+
+    def lists(x, y):
+        if not x or not y:
+            return 0
+        return max(lists(x[:-1], y), lists(x, y[:-1]), lists(x[:-1], y[:-1]) + brute_weight(x[-1], y[-1]))
+
+    return wrapper.NODE + lists(a.children, b.children)
+
+
+def random_tree(rng, depth=3):
+    if not depth or rng.random() < 0.3:
+        return f"<{(t := rng.choice(['div', 'section']))}>{rng.choice('abc')}</{t}>"
+    tag = rng.choice(["div", "section"])
+    return f"<{tag}>{rng.choice(['', 'x', 'y'])}{''.join(random_tree(rng, depth - 1) for _ in range(rng.randint(1, 4)))}</{tag}>"
+
+
+def test_alignment_is_simple_tree_matching():
+    rng = random.Random(11)
+    for _ in range(200):
+        a, b = (wrapper.skeleton(wrapper.parse(f"<body>{random_tree(rng)}{random_tree(rng)}</body>")) for _ in range(2))
+        found = wrapper.Alignment(a, b)
+        assert found.weight == brute_weight(a, b)
+        mapped = list(found.pairs())
+        assert sum(wrapper.NODE + wrapper.SAME * same for _, _, same in mapped) == found.weight
+        assert len({id(x) for x, _, _ in mapped}) == len({id(y) for _, y, _ in mapped}) == len(mapped)
+        assert wrapper.unpacked(wrapper.packed(a))[1].hash == a.hash and wrapper.Alignment(wrapper.unpacked(wrapper.packed(a))[1], b).weight == found.weight
+
+
+def neutral_page(rng, k, long):
+    """A page whose tags and words tell nothing: all blocks are plain div elements."""
+    words = ["tree", "moon", "salt", "river", "stone", "cloud", "grass"]
+
+    def text(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    body = f"<h2>Title {k}</h2><p>{text(long)}</p><p>Send us a mail about this story.</p><p>{text(long)} {k}</p>"
+    return f"<html><body><div><ul><li><a href='/x'>{text(2)}</a></li></ul></div><div>{text(30)}</div><div>{body}</div><div><span>by us, all rights</span></div><div>{text(25)} {k}</div></body></html>", body
+
+
+def test_references_decide_where_tags_tell_nothing(spark):
+    rng = random.Random(3)
+    made = [neutral_page(rng, k, 3 if k % 4 == 0 else 80) for k in range(24)]
+    refs = [wrapper.shape_of(p) for p, _ in made[:5]]
+    alone = right = 0
+    for p, body in made:
+        want = wrapper.plain(wrapper.parse(body.replace("<p>Send us a mail about this story.</p>", "")))
+        right += wrapper.extract(p, refs) == want
+        alone += wrapper.extract(p, None) == want
+    assert right == 24 and alone == 0
+    rows = [(k, "http://h.org/x", p) for k, (p, _) in enumerate(made)] + [(k, f"http://other{k % 3}.org/", page(k, f"<article><h1>H {k}</h1><p>text {k}</p></article>")) for k in range(30, 40)] + [(50, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sent, joined = ({r.page_id: r.text for r in wrapper.main_texts(df, sent_bytes=n).collect()} for n in (1 << 20, 0))
+    assert sent == joined and sent[31] == "H 31 text 31" and sent[50] == ""
+    assert all(sent[k] == wrapper.plain(wrapper.parse(body.replace("<p>Send us a mail about this story.</p>", ""))) for k, (_, body) in enumerate(made))
+
+
+def test_words_in_names_drop_nothing_in_articles():
+    html = '<body><article><div class="article-header"><h1>Title</h1></div><section id="search-trees"><p>on trees</p></section><p class="side-note">a note</p><p>so <math><mi>x</mi></math> is</p><div class="comments"><p>first!</p></div></article></body>'
+    assert wrapper.extract(html, None) == "Title on trees a note so x is"
+    for other in ("<body><article><h1>Other</h1><p>text</p></article></body>", '<body><main><div class="menu"><p>m</p></div></main></body>'):
+        assert wrapper.extract(html, [wrapper.shape_of(other)]) == "Title on trees a note so x is"
+
+
+def test_two_layouts_of_a_host():
+    listing = "<body><div class='top'>Our site, all of it</div><div class='list'><div class='row'>{0} one</div></div></body>"
+    story = "<body><div class='top'>Our site, all of it</div><div class='story'><p>{0}</p></div><div class='end'><p>Write to the editor now.</p></div></body>"
+    refs = [wrapper.shape_of(listing.format(k)) for k in range(4)] + [wrapper.shape_of(story.format(f"other {k} " * 9)) for k in range(3)]
+    assert wrapper.extract(story.format("mine " * 9), refs) == " ".join(["mine"] * 9)
+    assert wrapper.layout_of(wrapper.skeleton(wrapper.parse(story))) != wrapper.layout_of(wrapper.skeleton(wrapper.parse(listing)))
+
+
+@pytest.mark.parametrize("html", ["<", "<p", "<p class=\"x>hello</p><b>", "<script>x", "<div " * 2000, "</p>text", "<!-- x", "&#x41;&bogus;", "<table><tr><td>a<tr><td>b</table>", "<div><p>" * 2000 + "y", "<table><tr><td>" * 500])
 def test_broken_pages(html):
     assert isinstance(wrapper.extract(html, [wrapper.shape_of(html)]), str)
 
 
+@pytest.mark.parametrize("html", ["<div>", "<main>", "<article>", "</b></p></div>", "<ul><li>", "<div>x", "<p><button><div>"])
+def test_deep_pages_take_linear_time(html):
+    import time
+
+    def seconds(n):
+        t = time.process_time()
+        deep = html * n + "x"
+        assert isinstance(wrapper.extract(deep + "<p>end</p>", [wrapper.shape_of(deep)]), str)
+        return time.process_time() - t
+
+    assert seconds(20_000) < 10 * seconds(5_000) + 1
+
+
 # --- op6 ----------------------------------------------------------------------------------------------------------
 
 
