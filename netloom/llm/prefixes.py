@@ -1,17 +1,24 @@
 """Token counts by prefix dynamic programming over a sentencepiece BPE model.
 
 In such a model no piece has a blank behind another character (``check_boundaries`` proves it from the vocabulary), so
-merges never cross the border between a run of blanks with the word behind it and the next such run. With such segments
-s1, s2, ... the count obeys count(s1..sk) = count(s1..sk-1) + tokens(sk): the table of exact counts at all segment ends
-comes from one cumulative sum. Inside a segment the counts of all its prefixes are one row of a second table, kept for
-each distinct segment. A prefix of any length is then answered by two look-ups, without encoding the text again.
+merges never cross the border between a run of blanks with the word behind it and the next such run. Texts are cut into
+such segments, and each distinct segment is encoded once, for all of its prefixes together:
+
+    count(i) = count(i - length of the last token of prefix i) + 1
+
+A sequence of tokens is what BPE makes of a string if and only if each two neighbours are what it makes of theirs. So the
+last token of a prefix is the one piece that ends there and that the model keeps apart from the last token of the prefix
+before it. Pieces that end at a place come from an automaton, and the verdict on two pieces is remembered. A character
+without a piece counts its bytes and merges with nothing.
+
+A text's table has the exact count of every prefix in code points: its segments' rows, each raised by the count before
+it. Totals, prefixes and budgets are look-ups; nothing is encoded again.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +30,9 @@ from netloom.llm import arrays
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-#: Distinct segments whose counts a worker remembers; beyond it the memory is emptied and filled again.
-REMEMBERED = 400_000
+#: Characters of distinct segments whose rows a worker remembers, and pairs of pieces; beyond it the memory is emptied and filled again.
+REMEMBERED_CHARS = 8_000_000
+REMEMBERED = 2_000_000
 BLANK = "▁"
 
 
@@ -35,37 +43,28 @@ def tokenizer_path(name: str = MODEL) -> str:
 
 
 class PrefixTable:
-    """Exact token counts at the segment ends of one text; ``at`` answers any prefix in code points."""
+    """``counts[n]`` is the exact number of tokens of a text's first ``n`` code points."""
 
     def __init__(self, counter: Counter, text: str):
-        self._counter, self._text = counter, text.replace(BLANK, " ")
-        self.ends, segments = _segments(self._text)
-        self.counts = np.cumsum(counter.of(segments), dtype=np.int64) if segments else np.zeros(0, np.int64)
+        self.ends, segments = _segments(text.replace(BLANK, " "))
+        rows = counter.rows(segments)
+        # the first segment begins with a blank that the text has not
+        rows[:1] = [rows[0][1:]] if rows else []
+        before = np.cumsum([0, *(r[-1] for r in rows)], dtype=np.int64)
+        self.counts = np.concatenate([[0], *(r + n for r, n in zip(rows, before[:-1], strict=True))]).astype(np.int64)
 
     @property
     def total(self) -> int:
-        return int(self.counts[-1]) if len(self.counts) else 0
+        return int(self.counts[-1])
 
     def at(self, n: int) -> int:
-        """Tokens of the first ``n`` code points."""
-        n = min(max(n, 0), len(self._text))
-        if not n:
-            return 0
-        k = int(np.searchsorted(self.ends, n, "right"))
-        before = int(self.counts[k - 1]) if k else 0
-        start = int(self.ends[k - 1]) if k else 0
-        return before + (self._counter.inside(self._text[start:n], first=not k) if n > start else 0)
+        """Tokens of the first ``n`` code points; of the whole text beyond its end."""
+        return int(self.counts[min(max(n, 0), len(self.counts) - 1)])
 
     def longest(self, budget: int) -> int:
-        """The most code points whose tokens fit ``budget`` such that no shorter prefix exceeds it at a segment end."""
-        k = int(np.searchsorted(self.counts, budget, "right"))
-        start = int(self.ends[k - 1]) if k else 0
-        stop = int(self.ends[k]) if k < len(self.ends) else len(self._text)
-        best = start
-        for n in range(start + 1, stop + 1):
-            if self.at(n) <= budget:
-                best = n
-        return best
+        """The most code points whose tokens fit the budget; 0 if it is negative."""
+        fit = np.flatnonzero(self.counts <= budget)
+        return int(fit[-1]) if len(fit) else 0
 
 
 def _segments(text: str) -> tuple[np.ndarray, list[str]]:
@@ -85,33 +84,118 @@ def _segments(text: str) -> tuple[np.ndarray, list[str]]:
 
 
 class Counter:
+    """Rows of prefix counts of distinct segments, remembered."""
+
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
-        self._sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self._known: dict[str, int] = {}
-        check_boundaries(self._sp)
-
-    def of(self, segments: list[str]) -> np.ndarray:
-        """Tokens of each segment, which begins with its blanks."""
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        check_boundaries(sp)
+        self._scores: dict[str, float] = {}
+        self._pieces: list[str] = []
+        self._automaton = ahocorasick.Automaton()
+        for i in range(sp.get_piece_size()):
+            if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
+                piece = sp.id_to_piece(i)
+                self._automaton.add_word(piece, (len(piece), len(self._pieces)))
+                self._scores[piece] = sp.get_score(i)
+                self._pieces.append(piece)
+        self._automaton.make_automaton()
+        self._apart: dict[int, bool] = {}
+        self._alone: dict[int, bool] = {}
+        self._known: dict[str, np.ndarray] = {}
+        self._held = 0
+
+    def _merged(self, text: str) -> list[str]:
+        """What BPE makes of a short string of characters with pieces: the best pair, the leftmost of equals, is merged first."""
+        parts = list(text)
+        while True:
+            best = max(((self._scores[m], -k) for k in range(len(parts) - 1) if (m := parts[k] + parts[k + 1]) in self._scores), default=None)
+            if best is None:
+                return parts
+            k = -best[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    def _keeps(self, before: int, piece: int) -> bool:
+        """Whether the two pieces stay as they are side by side; ``before`` is -1 where nothing merges with the piece."""
+        if before < 0:
+            if (found := self._alone.get(piece)) is None:
+                found = self._alone[piece] = self._merged(self._pieces[piece]) == [self._pieces[piece]]
+            return found
+        key = before << 32 | piece
+        if (found := self._apart.get(key)) is None:
+            if len(self._apart) >= REMEMBERED:
+                self._apart.clear()
+            a, b = self._pieces[before], self._pieces[piece]
+            found = self._apart[key] = self._merged(a + b) == [a, b]
+        return found
+
+    def _fill(self, segments: list[str]) -> None:
+        """Adds the rows of segments: one pass over all their characters."""
+        text = "".join(segments)
+        starts = np.cumsum([0, *map(len, segments)]).tolist()
+        count, last = [0] * len(text), [-1] * len(text)
+        begins = [False] * (len(text) + 1)
+        for x in starts:
+            begins[x] = True
+        apart, start, done, seen = self._apart, 0, -1, -1
+
+        def unknown(upto: int) -> None:
+            # characters without a piece
+            nonlocal start, done
+            for k in range(done + 1, upto):
+                if begins[k]:
+                    start = k
+                count[k] = (count[k - 1] if k > start else 0) + len(text[k].encode("utf-8", "replace"))
+            done = max(done, upto - 1)
+
+        for end, (size, piece) in self._automaton.iter(text):
+            if end == done:
+                continue
+            if end > seen:
+                if done < seen:
+                    raise ValueError(f"no piece can end at {text[seen]!r}")
+                seen = end
+                if end > done + 1:
+                    unknown(end)
+            if begins[end]:
+                start = end
+            begin = end - size + 1
+            if begin < start:
+                continue
+            before = last[begin - 1] if begin > start else -1
+            fits = apart.get(before << 32 | piece) if before >= 0 else None
+            if fits is None:
+                fits = self._keeps(before, piece)
+            if fits:
+                count[end] = (count[begin - 1] if begin > start else 0) + 1
+                last[end] = piece
+                done = end
+        unknown(len(text))
+        rows = np.array(count, np.int32)
+        for s, a, b in zip(segments, starts[:-1], starts[1:], strict=True):
+            self._known[s] = rows[a:b].copy()
+        self._held += len(text)
+
+    def rows(self, segments: list[str]) -> list[np.ndarray]:
+        """For each segment, which begins with its blanks, the tokens of its first 1, 2, ... code points."""
+        return self._rows([s.replace(" ", BLANK) for s in segments])
+
+    def _rows(self, segments: list[str]) -> list[np.ndarray]:
         known = self._known
         new = [s for s in dict.fromkeys(segments) if s not in known]
         if new:
-            if len(known) + len(new) > REMEMBERED:
+            if self._held + sum(map(len, new)) > REMEMBERED_CHARS:
                 known.clear()
+                self._held = 0
                 new = list(dict.fromkeys(segments))
-            # the model adds one blank itself
-            for s, ids in zip(new, self._sp.encode([s[1:] for s in new], num_threads=1), strict=True):
-                known[s] = len(ids) if len(s) > 1 else self._blank()
-        return np.fromiter((known[s] for s in segments), np.int64, len(segments))
+            self._fill(new)
+        return [known[s] for s in segments]
 
-    @lru_cache(maxsize=1)  # noqa: B019
-    def _blank(self) -> int:
-        # a lone blank at the end of a text: the tokens of "x " without those of "x"
-        return len(self._sp.encode("x ")) - len(self._sp.encode("x"))
-
-    def inside(self, part: str, first: bool) -> int:
-        return int(self.of([(" " if first else "") + part])[0])
+    def of(self, segments: list[str]) -> np.ndarray:
+        """Tokens of each segment: the last entries of the rows."""
+        return np.fromiter((r[-1] for r in self.rows(segments)), np.int64, len(segments))
 
     def table(self, text: str | None) -> PrefixTable:
         return PrefixTable(self, text or "")
@@ -178,14 +262,12 @@ def token_count(text: Column, path: str) -> Column:
 
 
 def prefix_counts(text: Column, path: str) -> Column:
-    """(ends, counts): code points and exact token counts at all segment ends, to answer truncation and budgets later."""
-    kind = T.StructType([T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    """The exact token counts of the text's first 0, 1, 2, ... code points, to answer truncation and budgets later; [0] for null."""
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(T.ArrayType(T.LongType()))
     def tables(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
-            every = [counter(path).table(t) for t in column.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([t.ends for t in every], pa.list_(pa.int64())), pa.array([t.counts for t in every], pa.list_(pa.int64()))], ["ends", "counts"])
+            yield pa.array([counter(path).table(t).counts for t in column.to_pylist()], pa.list_(pa.int64()))
 
     return tables(text)
 

@@ -554,13 +554,40 @@ def test_token_counts(spark):
 
 
 def test_every_prefix():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=prefixes.tokenizer_path())
     c = prefixes.Counter(prefixes.tokenizer_path())
-    for text in token_texts()[-150:]:
+    for text in token_texts()[-150:] + [" " * 40, "a" * 40, "the" * 12, "x\n\n  y"]:
         table = c.table(text)
-        for n in range(len(text) + 1):
-            assert table.at(n) == len(c._sp.encode(text[:n])), (text, n)
-        cut = table.longest(5)
-        assert table.at(cut) <= 5
+        want = [len(sp.encode(text[:n])) for n in range(len(text) + 1)]
+        assert table.counts.tolist() == want and [table.at(n) for n in range(len(want))] == want
+        assert table.at(10**6) == table.total == want[-1]
+        for budget in (-1, 0, 1, 5, 10**6):
+            assert table.longest(budget) == max((n for n, k in enumerate(want) if k <= budget), default=0)
+
+
+def test_budgets_are_lookups(spark, monkeypatch):
+    c = prefixes.counter(prefixes.tokenizer_path())
+    table = c.table("abcdefghij" * 2000 + " and more of it")
+    monkeypatch.setattr(c, "_fill", None)
+    monkeypatch.setattr(c, "_merged", None)
+    assert all(table.at(table.longest(k)) <= k for k in range(0, table.total + 1, 97))
+    monkeypatch.undo()
+    df = spark.createDataFrame([(1, "one two three four five"), (2, None), (3, ""), (4, "word" * 5000)], "doc_id long, text string")
+    path = prefixes.tokenizer_path()
+    got = {r.doc_id: r for r in df.select("doc_id", prefixes.within_budget(F.col("text"), 3, path).alias("cut"), prefixes.prefix_counts(F.col("text"), path).alias("n")).collect()}
+    assert got[1].cut == "one two three" and got[2].cut is None and got[3].cut == "" and len(got[4].cut) >= 8
+    assert got[2].n == got[3].n == [0] and len(got[4].n) == 20001 and got[4].n[-1] == c.table("word" * 5000).total
+
+
+def test_long_text_without_a_blank():
+    import time
+
+    t = time.process_time()
+    rng = random.Random(1)
+    table = prefixes.Counter(prefixes.tokenizer_path()).table("".join(rng.choice("abcdefghij") for _ in range(200_000)))
+    assert len(table.counts) == 200_001 and table.longest(100) < 1000 and time.process_time() - t < 30
 
 
 # --- op9 ----------------------------------------------------------------------------------------------------------
