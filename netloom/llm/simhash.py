@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.llm import arrays
+from netloom.llm.tables import col, cols, fresh, joined_by
 from netloom.operators.components import connected_components
 from netloom.plans.durable import durable
 
@@ -203,6 +204,8 @@ def _bucket_stars(radius: int):
 
 def near_links(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(u, v) links whose components are those of all pairs within ``radius``; ``fps`` has distinct non-null ``fp``."""
+    if radius % 2:
+        raise ValueError("the radius must be even: the way for large buckets halves it")
     masks = covering_masks(radius)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "k"))
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
@@ -217,43 +220,60 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_
 
 
 def _by_midpoints(fps: DataFrame, radius: int) -> DataFrame:
-    """Links among any number of fingerprints without comparing pairs; ``radius`` is even."""
-    if radius % 2:
-        raise ValueError("the way for large buckets needs an even radius")
+    """Links among any number of fingerprints without comparing pairs: 1 + 64 + 2016 points each at radius 4."""
     flips = [_signed(sum(1 << b for b in bits)) for k in range(radius // 2 + 1) for bits in combinations(range(BITS), k)]
-    spark = fps.sparkSession
-    steps = F.broadcast(spark.createDataFrame([(x,) for x in flips], "flip long"))  # 1 + 64 + 2016 rows at radius 4
-    named = fps.crossJoin(steps).select("fp", F.expr("fp ^ flip").alias("z"))
+    named = fps.select("fp", F.explode(F.array(*[F.lit(x) for x in flips])).alias("flip")).select("fp", F.expr("fp ^ flip").alias("z"))
     hubs = named.groupBy("z").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("z", "v")
     return named.join(hubs, "z").where("fp <> v").select(F.col("fp").alias("u"), "v")
 
 
+def _components(rows: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
+    """(fp, n, low, component) of each distinct fingerprint of (fp, low): its rows, its least ``low``, its component."""
+    fps = durable(rows.groupBy("fp").agg(F.min("low").alias("low"), F.count("*").alias("n")))
+    parts = connected_components(near_links(fps, radius, bucket_limit)).select(F.col("node").alias("fp"), "component")
+    return durable(fps.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(id, fingerprint, component_id) for every row; other columns are not read.
 
     Null and blank texts have fingerprint zero, which is linked like any other. ``component_id`` is the smallest
     non-null id of the rows reachable over links; null if none has an id. Repeated rows are returned as often as they
-    are given. An empty table gives an empty result.
+    are given. An empty table gives an empty result. Components and fingerprints of many rows are joined by broadcast.
     """
-    rows = durable(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")))
-    fps = durable(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    parts = connected_components(near_links(fps, radius, bucket_limit)).select(F.col("node").alias("fp"), "component")
-    placed = durable(fps.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    least = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = placed.join(least, "component").select("fp", "component_id")
-    out = rows.join(named, "fp")
-    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = durable(docs.select(col(id_col).alias("low"), fingerprint(col(text_col)).alias("fp")))
+    placed = _components(rows, radius, bucket_limit)
+    least = durable(placed.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("members")))
+    named = joined_by(placed.select("fp", "n", "component"), least, "component", "members").select("fp", "n", "component_id")
+    out = joined_by(rows, durable(named), "fp", "n")
+    return out.select(F.col("low").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row for each group of near-duplicates: the one whose id is its component's smallest.
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """``docs`` with one row for each group of near-duplicates: the one with the smallest id, then text hash; null ids last.
 
-    Repeated rows of that id are one document; one of them stays. Rows without an id can't be told apart: all stay.
+    Groups are of texts, so rows of one id with unrelated texts all stay, and rows without an id are searched like any
+    other. Rows equal in id and text are one document: one of them stays, the first by a hash of its columns. Ids and
+    hashes choose the rows; texts are shuffled once, to be met by those chosen. No rows give no rows.
     """
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, radius)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col)).distinct()
-    kept = docs.join(keep, id_col, "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.lit(0))))
-    kept = kept.where("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    rank = F.struct(col(id_col).isNull().alias("no_id"), col(id_col).alias("id"), F.coalesce(F.xxhash64(col(text_col)), F.lit(0)).alias("h"))
+    rows = durable(docs.select(rank.alias("low"), fingerprint(col(text_col)).alias("fp")))
+    chosen = _components(rows, radius, bucket_limit).groupBy("component").agg(F.min("low").alias("low"))
+    counted = rows.groupBy("low").agg(F.count("*").alias("times")).join(chosen.select("low"), "low")
+    my_id, my_hash, times = fresh(docs, "id", "h", "times")
+    wanted = durable(counted.select(F.col("low.id").alias(my_id), F.col("low.h").alias(my_hash), F.col("times").alias(times)))
+    same = (docs[f"`{id_col}`"].eqNullSafe(wanted[my_id])) & (F.coalesce(F.xxhash64(docs[f"`{text_col}`"]), F.lit(0)) == wanted[my_hash])
+    single = docs.join(wanted.where(F.col(times) == 1), same, "left_semi")
+    # repeated rows: one is kept for each task before anything is shuffled
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    again = docs.join(F.broadcast(wanted.where(F.col(times) > 1)) if _few(wanted.where(F.col(times) > 1)) else wanted.where(F.col(times) > 1), same)
+    one = again.groupBy(my_id, my_hash).agg(F.min_by(F.struct(*cols(docs.columns)), F.xxhash64(*cols(plain))).alias("row"))
+    return single.unionByName(one.select("row.*"))
+
+
+#: Rows of at most 32 bytes that are sent to every task.
+FEW = 500_000
+
+
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(FEW + 1).count() <= FEW
