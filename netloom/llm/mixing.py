@@ -6,7 +6,8 @@ are taken, and the source is cut at its exact budget; a budget above the source'
 The prefix sums are distributed. A source's key range is divided into cells of about ``CELL_ROWS`` rows, so a larger
 source has more cells; cells are ordered ranges of keys, so rows are dealt out by (source, cell) and sorted inside a
 cell, and a cell's offset is the sum of the cells before it. A source with a third of all rows is thus spread over as
-many tasks as its rows need. Only ids, sizes and keys are shuffled, never texts.
+many tasks as its rows need. Only ids, sizes and keys are shuffled, never texts. Rows equal in source, key, id, size and
+text are counted before, so any number of them is one row of a cell.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.llm.tables import col, cols, fresh
 from netloom.plans.durable import durable
 
 #: Weights of the sources in code-point order, repeating; a null source comes last.
@@ -22,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2
 CELL_ROWS = 2_000
+#: Ranges over which the sources are numbered.
+RANGES = 64
 
 
 def word_count(text: Column) -> Column:
@@ -40,9 +44,15 @@ def source_targets(sizes: DataFrame, total_share: float = TOTAL_SHARE, max_epoch
     A source whose share would exceed ``max_epochs`` times its size gets just that, and the excess goes to the others by
     weight until none is above. Each round takes three sums to the driver; rounds end when no source is capped anew.
     """
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (nth % len(weights) + 1).cast("int"))
-    rows = durable(sizes.withColumn("sid", nth.cast("long")).withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs))))
+    by_source = F.col("source").asc_nulls_last()
+    ranged = durable(sizes.repartitionByRange(RANGES, by_source).withColumn("range", F.spark_partition_id()))
+    # one row for each range
+    counts = ranged.groupBy("range").agg(F.count("*").alias("m"))
+    first = counts.select("range", F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    nth = F.col("first") + F.row_number().over(Window.partitionBy("range").orderBy(by_source)) - 1
+    numbered = ranged.join(F.broadcast(first), "range").withColumn("sid", nth.cast("long")).drop("range", "first")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
+    rows = durable(numbered.withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs))))
     first = rows.agg(F.sum("source_size"), F.sum("w")).first()
     budget, share, held, capped = (first[0] or 0) * total_share, first[1] or 1.0, 0.0, 0
     while True:
@@ -54,8 +64,18 @@ def source_targets(sizes: DataFrame, total_share: float = TOTAL_SHARE, max_epoch
         capped, held, share = n, held_now, share_now
 
 
+def _own(id_col: str, text_col: str) -> list[Column]:
+    """What places a document within its source, as columns key, some, id, size, h."""
+    text = col(text_col)
+    return [random_key(col(id_col), text).alias("key"), col(id_col).isNotNull().alias("some"), col(id_col).alias("id"), word_count(text).alias("size"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h")]
+
+
+PLACE = ("key", "some", "id", "size", "h")
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), random_key(F.col(id_col), F.col(text_col)).alias("key"))
+    rows = docs.select(col(source_col).alias("source"), *_own(id_col, text_col))
+    return rows.groupBy("source", *PLACE).agg(F.count("*").alias("times"))
 
 
 def _placed(rows: DataFrame, cell_rows: int) -> DataFrame:
@@ -63,18 +83,18 @@ def _placed(rows: DataFrame, cell_rows: int) -> DataFrame:
 
     Sources are joined by number from here on: the join with the cells and the window share one shuffle.
     """
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sources = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.count("*").alias("n"))
     goals = source_targets(sources).withColumn("n_cells", F.ceil(F.col("n") / cell_rows)).withColumn("goal", F.round("target").cast("long"))
     goals = goals.withColumn("epochs", F.expr("if(source_size > 0, goal div source_size, 0L)"))
     goals = durable(goals.withColumn("rest", F.col("goal") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "s"))
     # the cells of a source divide the keys' first 32 bits evenly
     head = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     mapped = rows.join(goals.select("s", "sid", "n_cells"), F.col("source").eqNullSafe(F.col("s"))).withColumn("cell", F.shiftright(head * F.col("n_cells"), 32)).drop("s", "n_cells")
-    sums = mapped.groupBy("sid", "cell").agg(F.sum("size").alias("cell_size"))
+    sums = mapped.groupBy("sid", "cell").agg(F.sum(F.col("size") * F.col("times")).alias("cell_size"))
     before = F.coalesce(F.sum("cell_size").over(Window.partitionBy("sid").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = sums.select("sid", "cell", before.alias("before")).join(goals.select("sid", "source_size", "target", "epochs", "rest"), "sid")
-    order = Window.partitionBy("sid", "cell").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return mapped.join(cells, ["sid", "cell"]).withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    order = Window.partitionBy("sid", "cell").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    return mapped.join(cells, ["sid", "cell"]).withColumn("before", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("times")).over(order), F.lit(0)))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -85,27 +105,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     swap places, which no result shows. An empty table gives no rows.
     """
     rows = durable(_keyed(docs, id_col, text_col, source_col))
-    placed = _placed(rows, cell_rows)
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    each = _placed(rows, cell_rows).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("nth") * F.col("size")))
+    return each.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
 def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cell_rows: int = CELL_ROWS) -> DataFrame:
-    """The mix itself: ``docs`` repeated by epoch, with the column ``epoch`` from 1; whole documents only.
+    """The mix itself: ``docs`` repeated by epoch, with the column ``epoch`` from 1 (a column of this name is replaced); whole documents only.
 
     In its last epoch a source gives the documents ordered before its cut, so its words miss the target by less than
-    one document. Texts are not shuffled: each source's cut is one row, which is joined to the documents.
+    one document, equal rows counted one by one: of those at the cut the last epoch holds copies of the first by a hash
+    of its columns. Where whole epochs meet the target nothing more is drawn, so a source without words gives none. Texts are not shuffled: each source's cut is one row, which is joined to the documents. No rows give
+    no rows.
     """
     rows = durable(_keyed(docs, id_col, text_col, source_col))
-    placed = _placed(rows, cell_rows)
-    place = F.struct("key", F.col("id").isNotNull().alias("some"), "id", "size")
+    place = F.struct(*PLACE)
+    total = F.col("size") * F.col("times")
+    cut = F.struct(place.alias("place"), F.expr("if(size > 0, (rest - before) div size, 0L)").alias("extra"))
     # the first document that does not fit the rest any more; null where all do
-    cuts = placed.groupBy("source").agg(F.first("epochs").alias("_epochs"), F.min(F.when(F.col("before") + F.col("size") > F.col("rest"), place)).alias("_cut"))
-    cuts = cuts.withColumnRenamed("source", "_source")
-    own = F.struct(random_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"))
-    copies = F.col("_epochs") + F.when(F.col("_cut").isNull() | (own < F.col("_cut")), 1).otherwise(0)
-    kept = docs.join(cuts, docs[source_col].eqNullSafe(F.col("_source"))).withColumn("_copies", copies).where("_copies > 0")
-    return kept.select(*[docs[c] for c in docs.columns if c != "epoch"], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("epoch"))
+    cuts = _placed(rows, cell_rows).groupBy("source").agg(F.first("epochs").alias("epochs"), F.first("rest").alias("rest"), F.min(F.when(F.col("before") + total > F.col("rest"), cut)).alias("cut"))
+    s, epochs, rest, at, extra, copies, own = fresh(docs, "source_", "epochs", "rest", "cut", "extra", "copies", "own")
+    cuts = durable(cuts.select(F.col("source").alias(s), F.col("epochs").alias(epochs), F.col("rest").alias(rest), F.col("cut.place").alias(at), F.col("cut.extra").alias(extra)))
+    joined = docs.withColumn(own, F.struct(*_own(id_col, text_col))).join(cuts, col(source_col).eqNullSafe(F.col(s)))
+    kept = [c for c in docs.columns if c.lower() != "epoch"]
+    whole = joined.withColumn(copies, F.col(epochs) + F.when((F.col(rest) > 0) & (F.col(at).isNull() | (F.col(own) < F.col(at))), 1).otherwise(0)).where(F.col(copies) > 0)
+    whole = whole.select(*cols(kept), F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias("epoch"))
+    plain = [c for c, kind in docs.dtypes if c in kept and "map<" not in kind and "variant" not in kind]
+    edge = joined.where((F.col(own) == F.col(at)) & (F.col(extra) > 0)).groupBy(s, epochs, extra).agg(F.min_by(F.struct(*cols(kept)), F.xxhash64(*cols(plain))).alias("row"))
+    edge = edge.select("row.*", F.explode(F.array_repeat((F.col(epochs) + 1).cast("int"), F.col(extra).cast("int"))).alias("epoch"))
+    return whole.unionByName(edge)
 
 
 #: The query's rows in DuckDB: the same order of keys, with one running sum for each source.
