@@ -5,7 +5,10 @@ as alternatives of trigram sets. The index has postings (trigram, row) for the t
 rule's candidates are the rows found in all postings of one of its alternatives, and only those are searched with the
 expression. Rules without mandatory trigrams, such as runs of hexadecimal digits, search every row.
 
-Postings carry a hash of id and text as the row's key. Colliding rows only make needless candidates: the search decides.
+Postings carry a hash of the text as the row's key. Colliding texts only make needless candidates: the search decides.
+Keys of candidates that are few, by count, are broadcast, so no text is shuffled; more of them are joined by a shuffle.
+
+Lists are folded in blocks of ``BLOCK`` entries, since a fold copies the list it builds with every entry.
 """
 
 from __future__ import annotations
@@ -19,10 +22,17 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.tables import col, cols, fresh
+from netloom.plans.durable import durable
+
 #: Strings that one run of literals and small classes may expand to before it is closed.
 MOST_STRINGS = 32
 MOST_CHOICES = 6
 SPAN = "array<struct<start: bigint, nth: int, stop: bigint>>"
+#: Entries of a list that one fold goes through.
+BLOCK = 64
+#: Candidates of at most some 100 bytes that are sent to every task.
+SENT_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -163,6 +173,34 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return met.groupBy("row").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(items: Column) -> Column:
+    count = F.ceil(F.size(items) / F.lit(BLOCK)).cast("int")
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.slice(F.array(items), 1, 0))
+
+
+def _folded(items: Column, start: Column, merge, step, out_type: str, out) -> Column:
+    """What a fold with ``step`` over a long list gives out, in blocks.
+
+    A state is a number; ``merge`` gives that behind a whole block from that before it, ``step`` that behind one item,
+    and ``out`` the list of what the item gives, from the state before it.
+    """
+
+    def before(blocks: Column) -> Column:
+        first = F.struct(start.alias("at"), F.expr("cast(array() as array<bigint>)").alias("all"))
+        return F.aggregate(blocks, first, lambda acc, b: F.struct(merge(acc["at"], b).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+
+    def within(z: Column) -> Column:
+        first = F.struct(z["at"].alias("at"), F.expr(f"cast(array() as {out_type})").alias("out"))
+        return F.aggregate(z["block"], first, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], out(acc["at"], x)).alias("out")), lambda acc: acc["out"])
+
+    return _let(_blocks(items), lambda blocks: F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), before(blocks).alias("at")), within)))
+
+
 def spans(text: Column, rule: Rule, nth: int) -> Column:
     """Spans (start, nth, stop) in code points of the leftmost matches that don't overlap.
 
@@ -173,16 +211,19 @@ def spans(text: Column, rule: Rule, nth: int) -> Column:
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     size = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
     each = F.arrays_zip(F.transform(pieces, F.length).alias("before"), F.transform(found, F.length).alias("long"), F.transform(size, F.length).alias("kept"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["before"]
-        stop = begin + F.coalesce(x["long"], F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), F.lit(nth).alias("nth"), stop.alias("stop"))).cast(SPAN)
-        keep = x["long"].isNotNull() & (x["kept"] >= rule.least)
-        return F.struct(stop.alias("at"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def after(at: Column, x: Column) -> Column:
+        return at + x["before"] + F.coalesce(x["long"], F.lit(0))
+
+    def whole(at: Column, block: Column) -> Column:
+        return F.aggregate(block, at, after)
 
-    return F.when(F.regexp_like(text, pattern), F.aggregate(each, start, step, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    def one(at: Column, x: Column) -> Column:
+        span = F.array(F.struct((at + x["before"]).alias("start"), F.lit(nth).alias("nth"), after(at, x).alias("stop"))).cast(SPAN)
+        return F.when(x["long"].isNotNull() & (x["kept"] >= rule.least), span).otherwise(F.expr(f"cast(array() as {SPAN})"))
+
+    matched = _let(each, lambda e: _folded(e, F.lit(0).cast("long"), whole, after, SPAN, one))
+    return F.when(F.regexp_like(text, pattern), matched).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
 def _named(found: Column, rules: tuple[Rule, ...]) -> Column:
@@ -190,19 +231,21 @@ def _named(found: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.element_at(kinds, s["nth"] + 1), s["start"], s["stop"])), ",")
 
 
-def with_spans(docs: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``_spans``, all spans by start, then in the order of the rules."""
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
-    may = candidates(keyed.select(F.col("_row").alias("row"), F.col(text_col).alias("text")), rules).withColumnRenamed("row", "_row")
-    joined = keyed.join(may, "_row", "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def with_spans(docs: DataFrame, text_col: str, name: str, rules: tuple[Rule, ...] = RULES, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """``docs`` with the column ``name``: all spans by start, then in the order of the rules. ``name`` is a new column."""
+    row, kinds, other = fresh(docs, "row", "kinds", "other_row")
+    keyed = docs.withColumn(row, F.xxhash64(col(text_col)))
+    may = durable(candidates(keyed.select(F.col(row).alias("row"), col(text_col).alias("text")), rules).select(F.col("row").alias(other), F.col("kinds").alias(kinds)))
+    few = may.limit(sent_rows + 1).count() <= sent_rows
+    joined = keyed.join(F.broadcast(may) if few else may, F.col(row) == F.col(other), "left")
+    text = F.coalesce(col(text_col), F.lit(""))
     none = F.expr(f"cast(array() as {SPAN})")
     parts = []
     for nth, rule in enumerate(rules):
         found = spans(text, rule, nth)
         scanned = frozenset() in trigram_query(rule.pattern)
-        parts.append(found if scanned else F.when(F.array_contains("kinds", rule.kind), found).otherwise(none))
-    return joined.withColumn("_spans", F.array_sort(reduce(F.concat, parts))).select(*docs.columns, "_spans")
+        parts.append(found if scanned else F.when(F.array_contains(F.col(kinds), rule.kind), found).otherwise(none))
+    return joined.select(*cols(docs.columns), F.array_sort(reduce(F.concat, parts)).alias(name))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,34 +253,38 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     A null text is empty and has no spans; repeated rows are scanned each; no rows give no rows.
     """
-    found = with_spans(docs.select(id_col, text_col), id_col, text_col)
-    base = F.filter("_spans", lambda s: s["nth"] < len(BASE))
+    found = with_spans(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), "text", "found")
+    base = F.filter("found", lambda s: s["nth"] < len(BASE))
 
     def count(k: int) -> Column:
-        return F.size(F.filter("_spans", lambda s: s["nth"] == k)).cast("long")
+        return F.size(F.filter("found", lambda s: s["nth"] == k)).cast("long")
 
     counts = [count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE)]
-    return found.select(id_col, *counts, F.sha2(_named(base, RULES), 256).alias("base_sha256"), _named(F.col("_spans"), RULES).alias("spans"))
+    return found.select(F.col("id").alias(id_col), *counts, F.sha2(_named(base, RULES), 256).alias("base_sha256"), _named(F.col("found"), RULES).alias("spans"))
 
 
 MASK = "[SECRET]"
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by ``MASK``; overlapping spans become one. Other columns and clean texts stay."""
-    found = with_spans(docs, id_col, text_col)
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(MASK)))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+def redact(docs: DataFrame, text_col: str = "text", sent_rows: int = SENT_ROWS) -> DataFrame:
+    """``docs`` with every span replaced by ``MASK``; overlapping spans become one. Other columns and clean texts stay.
 
-    def end(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-
-    masked = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, end)).otherwise(text)
-    return found.select(*[masked.alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+    A null text stays null; repeated rows are masked each; no rows give no rows.
+    """
+    (name,) = fresh(docs, "spans")
+    found = with_spans(docs, text_col, name, sent_rows=sent_rows)
+    text = col(text_col)
+    # the text is cut at every span's start, and each piece loses what the spans before and at its start cover
+    pieces = _folded(
+        F.concat(F.col(name), F.array(F.struct(F.length(text).cast("long").alias("start"), F.lit(-1).alias("nth"), F.length(text).cast("long").alias("stop")))),
+        F.lit(0).cast("long"),
+        lambda at, block: F.greatest(at, F.array_max(F.transform(block, lambda s: s["stop"]))),
+        lambda at, s: F.greatest(at, s["stop"]),
+        "array<string>",
+        lambda at, s: F.when(s["start"] >= at, F.array(F.substring(text, (at + 1).cast("int"), (s["start"] - at).cast("int")))).otherwise(F.expr("cast(array() as array<string>)")),
+    )
+    masked = F.when(F.size(F.col(name)) > 0, F.array_join(pieces, MASK)).otherwise(text)
+    return found.select(*[masked.alias(text_col) if c == text_col else col(c) for c in docs.columns])
 
 
 def _duck_spans(rule: Rule, nth: int) -> str:
