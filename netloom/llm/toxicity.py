@@ -2,8 +2,9 @@
 
 Positives are documents confirmed toxic, the rest of the sample is unlabelled text. A linear model over word presence
 minimises the non-negative risk of Kiryo et al. (2017), pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)), with the logistic
-loss and the class prior pi taken from the confirmed labels. Fitting uses a bounded sample (``FIT_POSITIVE`` and
-``FIT_UNLABELLED`` rows); every whole text is scored.
+loss and the class prior pi taken from the confirmed labels. Fitting uses a bounded sample: ``FIT_POSITIVE`` and
+``FIT_UNLABELLED`` distinct ids with one text each, and of a text at most ``FIT_WORDS`` distinct words, so the driver
+holds at most 8 * FIT_WORDS * (FIT_POSITIVE + FIT_UNLABELLED) bytes. Every whole text is scored.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.llm import arrays
+from netloom.llm.tables import col
 
 #: Most rows of each kind that the classifier is fitted on.
 FIT_POSITIVE = 4_000
 FIT_UNLABELLED = 8_000
+#: Most distinct words of a text in the sample: those with the smallest hashes, so that texts keep the same words.
+FIT_WORDS = 2_000
 #: Words that the model weighs: those that tell most between the two samples.
 FEATURES = 4_096
 #: A word in fewer positive rows than this is no feature.
@@ -118,7 +122,8 @@ def _features(ids_and_texts: DataFrame) -> DataFrame:
             out = []
             for _, _, raw, at in arrays.slices(batch.column(1)):
                 h, first = distinct_words(raw, at)
-                out += [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                # words are ordered by hash
+                out += [h[a : min(b, a + FIT_WORDS)].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["positive", "words"])
 
     return ids_and_texts.mapInArrow(made, "positive boolean, words binary")
@@ -127,21 +132,28 @@ def _features(ids_and_texts: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", usable: Column | None = None) -> Model:
     """A model from the documents with label toxic = 1 and a hash sample of the others; ``usable`` limits both to ids.
 
-    A document with several labels is positive if one of them says so. Null labels say nothing.
+    A document with several labels is positive if one of them says so. Null labels say nothing. Of rows that repeat an
+    id the one with the smallest text hash is taken. Without a positive label or a text nothing is learned.
     """
     usable = F.lit(True) if usable is None else usable
-    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & usable).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
+    known = labels.where(F.col("toxic").isNotNull() & col(id_col).isNotNull() & usable).groupBy(col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
     n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & usable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not n_toxic:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
+    rows = docs.where(col(id_col).isNotNull() & col(text_col).isNotNull() & usable).select(col(id_col).alias("id"), col(text_col).alias("text"))
     n_rows = docs.count()
-    key = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    ids = known.where("toxic = 1").select(F.col(id_col).alias("id")).orderBy(F.xxhash64(id_col), id_col).limit(FIT_POSITIVE)
-    # at most FIT_POSITIVE ids of 8 bytes
-    positive = rows.join(F.broadcast(ids), "id").select(F.lit(True).alias("positive"), "text")
-    unlabelled = rows.where(key < int(min(1.0, FIT_UNLABELLED / max(1, n_rows)) * (1 << 30))).select(F.lit(False).alias("positive"), "text")
-    found = _features(positive.unionByName(unlabelled)).collect()
+    # 63 bits: the share is fine enough for any number of rows
+    key = F.shiftrightunsigned(F.xxhash64("id"), 1)
+    share = min(1.0, 1.2 * FIT_UNLABELLED / max(1, n_rows))
+
+    def chosen(ids: DataFrame, most: int) -> DataFrame:
+        return F.broadcast(ids.distinct().orderBy(F.xxhash64("id"), "id").limit(most))
+
+    # at most FIT_POSITIVE and FIT_UNLABELLED ids
+    positive = rows.join(chosen(known.where("toxic = 1").select("id"), FIT_POSITIVE), "id").withColumn("positive", F.lit(True))
+    unlabelled = rows.join(chosen(rows.where(key <= F.lit(int(share * (2**63 - 1024)))).select("id"), FIT_UNLABELLED), "id").withColumn("positive", F.lit(False))
+    one = positive.unionByName(unlabelled).groupBy("positive", "id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = _features(one.select("positive", "text")).collect()
     sample = sorted((bool(r["positive"]), bytes(r["words"])) for r in found)
     return fit_rows([np.frombuffer(x, np.uint64) for _, x in sample], np.array([p for p, _ in sample], bool), n_toxic / n)
 
@@ -181,6 +193,6 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Without a toxic label nothing is learned and all scores are near 0. Repeated rows are judged each.
     """
-    model = learn(docs, labels, id_col, text_col, ~held_out(F.col(id_col)))
-    scored = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), score_with(docs.sparkSession, model)(F.col(text_col)).alias("score"))
+    model = learn(docs, labels, id_col, text_col, ~held_out(col(id_col)))
+    scored = docs.select(col(id_col), held_out(col(id_col)).alias("held_out"), score_with(docs.sparkSession, model)(col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
