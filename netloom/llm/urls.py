@@ -11,6 +11,7 @@ Edges are counted for each pair of hosts before they are shuffled, so a host wit
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from netloom.plans.durable import durable
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
 THRESHOLD = 0.3
-#: Rounds of propagation: what is left after them is below DAMPING**ROUNDS of a seed.
-ROUNDS = 20
+#: Propagation ends when no host's score moves by this share of a full seed any more. All that moves in a round is at most
+#: the damping times what moved in the round before, so it ends on any graph.
 TOLERANCE = 1e-4
 
 
@@ -80,8 +81,8 @@ def host_edges(pages: DataFrame, host_col: str = "host", html_col: str = "html")
     return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, score) from edges (src, dst, n) and seeds (host, weight): weight + damping * inflow, iterated.
+def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int | None = None) -> DataFrame:
+    """(host, score) from edges (src, dst, n) and seeds (host, weight): weight + damping * inflow, iterated until it settles, or for so many ``rounds``.
 
     What a host passes on is divided by its links. Lineage is cut each round by a checkpoint.
     """
@@ -90,7 +91,7 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
     score = durable(seeds.where("weight > 0").select("host", F.col("weight").alias("score")))
     if not shares.limit(1).count() or not score.limit(1).count():
         return score
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         inflow = shares.join(score, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("share") * F.col("score") * damping).alias("score"))
         new = durable(inflow.unionByName(seeds.where("weight > 0").select("host", F.col("weight").alias("score"))).groupBy("host").agg(F.sum("score").alias("score")))
         old = score.select(F.col("host").alias("h"), F.col("score").alias("was"))
