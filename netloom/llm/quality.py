@@ -1,6 +1,6 @@
 """Quality rules: repetition and length limits, then divergence from language references.
 
-A language's reference is a histogram of character classes and one of its most common short words, over all documents
+A language's reference is a histogram of character classes and one of its most common words, over all documents
 that are known to be of the language. A document's histograms are compared with those of each language by the
 Jensen-Shannon distance (base 2, from 0 to 1); the nearest language counts. Documents with too little text for a
 histogram pass this test.
@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.llm import arrays
+from netloom.llm.tables import col
 from netloom.plans.durable import durable
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
-#: Words of a language's histogram, at most this many UTF-8 bytes long.
+#: Words of a language's histogram.
 COMMON_WORDS = 50
-COMMON_BYTES = 7
 #: Guards: fewer characters or words than these are not compared.
 GUARD_CHARS = 200
 GUARD_WORDS = 40
@@ -43,39 +43,32 @@ FLUSH = 2_000_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-#: Character classes: 0 lower, 1 upper, 2 digit, 3 white space, 4 sentence marks, 5 other marks, 6 beyond ASCII, 7 control; 8 is no character.
-CLASSES = 8
+#: Character classes: 0 lower, 1 upper, 2 digit, 3 white space, 4 sentence marks, 5 other marks, 6 control, 7 to 16 beyond
+#: ASCII by the first UTF-8 byte: further Latin, Greek, Cyrillic, Hebrew to N'Ko, South and South East Asian, marks and
+#: symbols, kana, Han, Hangul, all others; 17 is no character of its own.
+CLASSES = 17
 _CLASS = np.full(256, 5, np.int64)
-_CLASS[:32] = 7
-_CLASS[127] = 7
+_CLASS[:32] = 6
+_CLASS[127] = 6
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 0, 1, 2
 _CLASS[[9, 10, 11, 12, 13, 32]] = 3
 _CLASS[[ord(c) for c in ".,;:!?'\"()-"]] = 4
-_CLASS[128:192] = 8
-_CLASS[192:] = 6
-
-
-def _packed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Words of at most COMMON_BYTES bytes as integers (their bytes, then the length); longer ones as 0."""
-    size = ends - starts
-    out = np.zeros(len(starts), np.int64)
-    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
-    for k in range(COMMON_BYTES):
-        out = out << 8 | np.where(k < size, padded[starts + k], 0)
-    return np.where(size <= COMMON_BYTES, out << 4 | np.minimum(size, COMMON_BYTES), 0)
+_CLASS[0x80:0xC0] = CLASSES
+for _first, _end, _kind in ((0xC0, 0xCD, 7), (0xCD, 0xD0, 8), (0xD0, 0xD5, 9), (0xD5, 0xE0, 10), (0xE0, 0xE2, 11), (0xE2, 0xE3, 12), (0xE3, 0xE4, 13), (0xE4, 0xEA, 14), (0xEA, 0xEE, 15), (0xEE, 0x100, 16)):
+    _CLASS[_first:_end] = _kind
 
 
 def _common(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed lower-case alphanumeric words, for each text its first)."""
+    """(positive hashes of the lower-case alphanumeric words, for each text its first)."""
     buf, starts, ends, first = arrays.words(arrays.LOWER[raw], at, arrays.ALNUM)
-    return _packed(buf, starts, ends), first
+    return ((arrays.hashes(buf, starts, ends) >> np.uint64(1)) | np.uint64(1)).astype(np.int64), first
 
 
 def class_counts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Characters of each class in each text."""
     n = len(at) - 1
     doc = np.repeat(np.arange(n), np.diff(at))
-    return np.bincount(doc * 9 + _CLASS[raw], minlength=n * 9).reshape(n, 9)[:, :CLASSES]
+    return np.bincount(doc * (CLASSES + 1) + _CLASS[raw], minlength=n * (CLASSES + 1)).reshape(n, CLASSES + 1)[:, :CLASSES]
 
 
 @dataclass
@@ -280,7 +273,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     and the base rules decide. The language column only serves the references.
     """
     ref = references(docs, lang_col, text_col)
-    rows = docs.select(F.col(id_col), measured(docs.sparkSession, ref)(F.col(text_col)).alias("_m")).select(id_col, "_m.*")
+    rows = docs.select(col(id_col).alias("id"), measured(docs.sparkSession, ref)(col(text_col)).alias("m")).select(F.col("id").alias(id_col), "m.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     compared = (F.col("n_chars") >= GUARD_CHARS) & (F.col("n_words") >= GUARD_WORDS)
     far = compared & ((F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("strange") == 1))
