@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.llm import arrays
+from netloom.llm.tables import col, cols, fresh
 
 DIM = 1024
 #: Rows of each language, on average, from which its prototype is learned; all if it has fewer.
@@ -201,8 +202,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     learned = fit(docs.where(~held_out(F.col(id_col))), lang_col, text_col)
     predict = predictor(docs.sparkSession, learned)
-    judged = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), predict(F.col(text_col)).alias("_p"))
-    return judged.select(id_col, "held_out", "_p.lang_pred", "_p.score", "_p.cosine")
+    judged = docs.select(col(id_col).alias("id"), held_out(col(id_col)).alias("held_out"), predict(col(text_col)).alias("p"))
+    return judged.select(F.col("id").alias(id_col), "held_out", "p.lang_pred", "p.score", "p.cosine")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.08) -> DataFrame:
@@ -213,6 +214,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     learned = fit(docs.where(~held_out(F.col(id_col))), lang_col, text_col)
     if not learned:
         return docs
-    judged = docs.withColumn("_p", predictor(docs.sparkSession, learned)(F.col(text_col)))
-    short = F.length(F.regexp_replace(F.col(text_col), r"\P{L}+", "")) < LEAST_LETTERS
-    return judged.where((F.col("_p.lang_pred") != UNKNOWN) & ((F.col("_p.cosine") >= least) | short)).select(*docs.columns)
+    (name,) = fresh(docs, "predicted")
+    judged = docs.withColumn(name, predictor(docs.sparkSession, learned)(col(text_col)))
+    short = F.length(F.regexp_replace(col(text_col), r"\P{L}+", "")) < LEAST_LETTERS
+    return judged.where((F.col(name)["lang_pred"] != UNKNOWN) & ((F.col(name)["cosine"] >= least) | short)).select(*cols(docs.columns))
