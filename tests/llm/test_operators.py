@@ -222,6 +222,40 @@ def test_suffix_array_and_longest_matches(spark):
     assert [tuple(r) for r in suffixes.longest_matches(docs, bench).collect()] == [("7", 3, "1", 1, 27)]
 
 
+def brute_longest(texts, items, window):
+    """(item, its first word, document, its first word, words) of the longest match of each item and document."""
+    out = set()
+    for d, t in enumerate(texts):
+        a = ALNUM.findall(lower(t or ""))
+        best = {}
+        for i, u in items:
+            b = ALNUM.findall(lower(u or ""))
+            for p in range(len(a)):
+                for q in range(len(b)):
+                    n = 0
+                    while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                        n += 1
+                    if b and n >= min(window, len(b)) and i is not None:
+                        best[str(i)] = min(best.get(str(i), (0,)), (-n, p, q))
+        out |= {(i, q, str(d), p, -n) for i, (n, p, q) in best.items()}
+    return out
+
+
+@pytest.mark.parametrize(("window", "block_words"), [(1, suffixes.BLOCK_WORDS), (3, 10), (24, suffixes.BLOCK_WORDS), (24, 15)])
+def test_longest_matches_of_any_window(spark, window, block_words):
+    rng = random.Random(window)
+    items = [(k, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))) for k in range(5)] + [(8, None), (None, "a"), (9, "a a a")]
+    texts = [None, "", "a", "a " * 60] + [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 50))) for _ in range(12)] + ["b " + str(items[0][1]) + " c " + str(items[1][1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("matched", F.lit(1)).withColumn("longest", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_longest(texts, items, window)
+    assert {tuple(r) for r in suffixes.longest_matches(docs, bench, window=window, block_words=block_words).collect()} == want
+    found = {r.doc_id: r for r in suffixes.hits(docs, bench, window=window, block_words=block_words).collect()}
+    for d, (n_words, n_hit, names) in enumerate(brute_hits(texts, items, window)):
+        assert (found[d].n_words, found[d].n_hit, found[d]["items"]) == (n_words, n_hit, names) and found[d].matched == 1
+        assert found[d].longest == max((n for _, _, k, _, n in want if k == str(d)), default=0)
+
+
 # --- op4 ----------------------------------------------------------------------------------------------------------
 
 

@@ -28,6 +28,72 @@ def corpus():
     return rows, [(1, item), (2, "too short"), (None, "the of"), (3, None)]
 
 
+CLASHES = ("kinds", "_row", "row", "spans", "found", "_nth", "nth", "_copies", "copies", "own", "cut", "extra", "epochs", "source_", "times", "h", "id", "fp", "low", "matched", "_m0", "longest", "predicted", "_p", "key", "size", "cell", "a.b", "sid")
+
+
+def odd_rows():
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    rng = random.Random(4)
+    texts = [None, "", " \n ", "12 34", "é", "日本語", "a", "x " * 2000, "word" * 3000, "deadbeef" * 3 + " " + "0123456789abcdef01234567 " * 200]
+    rows = [(k, t, "en" if k % 2 else None, f"s{k % 3}" if k % 4 else None, None) for k, t in enumerate(texts)]
+    rows += [(20, " ".join(words), "en", "s0", 1), (20, "token = abcdef123456 " + " ".join(words[::-1]), "en", "s0", 1)]
+    rows += [(None, " ".join(rng.choice(words) for _ in range(40)), "de", "s1", 0) for _ in range(3)] + [(None, None, None, None, None)] * 2
+    rows += [(30, "again and again the same words here", "en", "s2", 0)] * 10 + [(k, " ".join(rng.choice(words) for _ in range(30)), "en", "s1", 0) for k in range(40, 60)]
+    return rows
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, tmp_path, name):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and ids, and columns named like a stage's own."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    item = " ".join(f"bench{k}" for k in range(14))
+    spark.createDataFrame([(1, item), (None, "a b"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = odd_rows() + [(70, f"{'prose ' * 5000}{item}", "en", "s0", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.concat(F.lit("mine "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    out = stage(spark, docs, str(tmp_path))
+    got = out.collect()
+    # the docs' own columns come back as they were
+    assert all(r[c] == f"mine {'-' if r.doc_id is None else r.doc_id}" for r in got for c in _kept(out))
+    n = Counter((r.doc_id, r.text) for r in got)
+    given = Counter((r[0], r[1]) for r in rows)
+    if name != "mixing_sources":
+        assert out.columns == docs.columns
+    if name == "language_id":
+        # texts of 200 letters or more may be like no learned language
+        letters = {k: sum(c.isalpha() for c in k[1] or "") for k in given}
+        assert {k: v for k, v in n.items() if letters[k] < 200} == {k: v for k, v in given.items() if 0 < letters[k] < 200}
+    elif name == "near_dedup":
+        # both unrelated texts of id 20 stay, one of the ten equal rows, one of all texts without a word, each id-less text
+        assert sum(v for k, v in n.items() if k[0] == 20) == 2 and n[30, "again and again the same words here"] == 1
+        assert sum(not (t or "").strip() for _, t in n.elements()) == 1 and sum(v for k, v in n.items() if k[0] is None) == 3
+    elif name == "decontamination":
+        assert n == Counter({k: v for k, v in given.items() if k[0] != 70})
+    elif name == "secret_scan":
+        assert len(got) == len(rows) and n[20, "[SECRET] " + " ".join("one two three four five six seven eight nine ten eleven twelve".split()[::-1])] == 1
+        assert n[9, "[SECRET] " + "[SECRET] " * 200] == 1 and sum(v for k, v in n.items() if "[SECRET]" not in (k[1] or "")) == len(rows) - 2
+    else:
+        assert set(n) <= set(given) and all(1 <= r.epoch <= 2 for r in got)
+    empty = stage(spark, docs.limit(0), str(tmp_path))
+    assert empty.count() == 0 and empty.columns == out.columns
+    none = spark.createDataFrame([(None,) * 5] * 3, SCHEMA)
+    assert stage(spark, none, str(tmp_path)).count() == {"near_dedup": 1, "mixing_sources": 0}.get(name, 3)
+
+
+def _kept(df):
+    return [c for c in CLASHES if c in df.columns]
+
+
+def test_draw_counts_equal_rows_one_by_one(spark):
+    """Ten equal rows of four words with a target of 60: two epochs would be 80, one and a half are drawn."""
+    rows = [(7, "one two three four", "en", "a", 0)] * 10
+    drawn = mixing.draw(spark.createDataFrame(rows, SCHEMA).withColumn("copies", F.lit(1)))
+    assert Counter(r.epoch for r in drawn.collect()) == {1: 10, 2: 5} and drawn.columns == ["doc_id", "text", "lang", "source", "n_chars", "copies", "epoch"]
+    mixed = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter(r.taken for r in mixed) == {8: 5, 4: 5}
+
+
 def test_stages(spark, tmp_path):
     rows, items = corpus()
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
