@@ -6,8 +6,10 @@ Exit codes: 0 if a mapping was found for every objective asked for, 2 if not or
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import math
+import re
 import sys
 from pathlib import Path
 
@@ -22,20 +24,26 @@ from netloom.sources import results
 from netloom.sources.graph_text import raw_graphs, read_files
 
 
+_OPTION = re.compile(r"(?P<name>[^=]+)=(?P<value>.*)", re.S)
+
+
+def cost_option(argument: str) -> tuple[str, object]:
+    """One ``name=value`` of the command line as (name, value): JSON where it is, plain text elsewhere."""
+    match = _OPTION.fullmatch(argument)
+    if match is None:
+        raise ValueError(f"{argument!r} is no name=value")
+    value: object = match["value"]
+    with contextlib.suppress(ValueError):
+        value = json.loads(match["value"])
+    return match["name"], value
+
+
 def parse_options(values: list[str]) -> dict:
-    """``key=value`` each; a value is JSON if it can be read so, else text."""
-    out: dict = {}
-    for one in values:
-        key, sign, raw = one.partition("=")
-        if not sign or not key:
-            raise ValueError(f"a cost option is key=value, not {one!r}")
-        if key in out:
-            raise ValueError(f"cost option {key!r} is given twice")
-        try:
-            out[key] = json.loads(raw)
-        except json.JSONDecodeError:
-            out[key] = raw
-    return out
+    """All options of a cost; each may be given once."""
+    options = dict(map(cost_option, values))
+    if len(options) < len(values):
+        raise ValueError("each cost option may be given once")
+    return options
 
 
 def parser() -> argparse.ArgumentParser:
@@ -62,7 +70,7 @@ def payload(task: Matcher, solution, sides: dict, parameters: dict) -> dict:
     states = m.preflight_totals(task.preflight(task.effective)).first()
     documents = {r["objective"]: json.loads(r["json"]) for r in results.solution_json(solution.values, solution.mapping, solution.edges).collect()}
     return {
-        "schema_version": 1, **sides, "parameters": parameters, "cost": solution.cost.name.value,
+        "schema_version": 1, **sides, "parameters": parameters, "cost": str(solution.cost.name),
         "candidate_statistics": {"source_vertices": stats["sources"], "empty_domains": stats["empty"], "total_candidates": stats["total"], "minimum_candidates": stats["least"], "maximum_candidates": stats["most"]},
         "candidate_sets": {str(r["source_vertex"]): r["t"] for r in sets},
         "decomposition": {"width": shape["width"], "maximum_bag_size": shape["most"], "bag_count": shape["n"], "heuristic": shape["h"], "minimum_fill_width": shape["f"], "minimum_degree_width": shape["d"]},
@@ -94,7 +102,7 @@ def main(argv: list[str] | None = None) -> int:
     solution = task.match_all(cost, objectives, args.dominance, args.state_limit)
     sizes = {r["graph"]: r for r in catalogue(vertices, edges).collect()}
     sides = {role: {"name": path.stem, "path": str(path), "vertices": sizes[role]["vertices"], "edges": sizes[role]["edges"]} for role, path in files.items()}
-    parameters = {"cost": cost.name.value, "objective": args.objective, "candidate_rho": args.rho, "top_k": args.top_k, "cost_options": options}
+    parameters = {"cost": str(cost.name), "objective": args.objective, "candidate_rho": args.rho, "top_k": args.top_k, "cost_options": options}
     document = payload(task, solution, sides, parameters)
     out = Path(args.output or f"match_{files['source'].stem}_to_{files['target'].stem}_{args.cost}_{args.objective}.json")
     out.parent.mkdir(parents=True, exist_ok=True)

@@ -15,7 +15,6 @@ REPEAT_SQUARED = 1e-24
 SHORTEST = 1e-12
 #: Prepared segments are longer than the root of this.
 PREPARED_SQUARED = 1e-12
-STALE = 1e-15
 #: Share of an edge's length that a corridor weight always has, so that of equal routes the shorter wins.
 LENGTH_TIE_BREAK = 1e-6
 BEND = 1e-12
@@ -159,10 +158,10 @@ def hausdorff(a: np.ndarray, b: np.ndarray, share: float | None = None) -> float
 
 
 def discrete_frechet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of one curve (n, 2) from each of many (r, m, 2)."""
+    """Of one curve (n, 2), or of each of many (r, n, 2), from each of as many (r, m, 2)."""
     row = None
-    for i in range(len(a)):
-        d = np.sqrt(((b - a[i]) ** 2).sum(axis=2))
+    for i in range(a.shape[-2]):
+        d = np.sqrt(((b - a[..., i, :].reshape(-1, 1, 2)) ** 2).sum(axis=2))
         new = np.empty_like(d)
         for j in range(d.shape[1]):
             if row is None:
@@ -177,15 +176,15 @@ def discrete_frechet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def time_warping(a: np.ndarray, b: np.ndarray, window: int | None, normalise: bool) -> np.ndarray:
-    """Root of the least sum of squared distances; steps stay within ``window`` - 1 of the diagonal."""
-    n, m = len(a), b.shape[1]
+    """Root of the least sum of squared distances, of one curve (n, 2) or many (r, n, 2) and many (r, m, 2); steps stay within ``window`` - 1 of the diagonal."""
+    n, m = a.shape[-2], b.shape[1]
     width = max(n, m) if window is None else max(window, abs(n - m) + 1)
     row = np.full((len(b), m + 1), np.inf)
     row[:, 0] = 0
     for i in range(n):
         new = np.full_like(row, np.inf)
         for j in range(max(0, i - width + 1), min(m, i + width)):
-            d = ((b[:, j] - a[i]) ** 2).sum(axis=1)
+            d = ((b[:, j] - a[..., i, :]) ** 2).sum(axis=1)
             new[:, j + 1] = d + np.minimum(np.minimum(row[:, j], row[:, j + 1]), new[:, j])
         row = new
     out = np.sqrt(row[:, m])
@@ -195,45 +194,75 @@ def time_warping(a: np.ndarray, b: np.ndarray, window: int | None, normalise: bo
 # --- shortest paths -------------------------------------------------------------------------------------------------
 
 
-def adjacency(u: np.ndarray, v: np.ndarray, weights: np.ndarray) -> dict[int, list[tuple[int, float, int]]]:
-    """Neighbours in edge order; the edge number is negative (from -1) against its direction."""
-    out: dict[int, list[tuple[int, float, int]]] = defaultdict(list)
-    for k, (a, b, w) in enumerate(zip(u.tolist(), v.tolist(), weights.tolist(), strict=True)):
-        out[a].append((b, w, k))
-        out[b].append((a, w, -k - 1))
-    return out
+class Network:
+    """Arcs of an undirected multigraph, grouped by the vertex they leave, in edge order.
 
+    Edge k is arc k along its direction and arc ~k against it. Vertices are numbered in the order of their ids.
+    """
 
-def shortest_tree(graph: dict[int, list[tuple[int, float, int]]], start: int) -> tuple[dict[int, float], dict[int, tuple[int, int]]]:
-    """(distances, parents with edges); of equal routes the one found first stays, taking vertices by (distance, id)."""
-    best, parent = {start: 0.0}, {}
-    heap = [(0.0, start)]
-    while heap:
-        d, at = heapq.heappop(heap)
-        if d > best[at] + STALE:
-            continue
-        for to, w, k in graph.get(at, ()):
-            new = d + w
-            if new < best.get(to, math.inf):
-                best[to], parent[to] = new, (at, k)
-                heapq.heappush(heap, (new, to))
-    return best, parent
-
-
-def route(parent: dict[int, tuple[int, int]], start: int, goal: int) -> list[int] | None:
-    """Signed edge numbers from start to goal; None if there is no way or nothing to go."""
-    if start == goal or goal not in parent:
-        return None
-    out = []
-    while goal != start:
-        goal, k = parent[goal]
-        out.append(k)
-    return out[::-1]
+    def __init__(self, u: np.ndarray, v: np.ndarray):
+        self.ids, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+        n = len(u)
+        tail, head = ends, np.concatenate((ends[n:], ends[:n]))
+        arc = np.concatenate((np.arange(n), ~np.arange(n)))
+        order = np.lexsort((arc < 0, np.where(arc < 0, ~arc, arc), tail))
+        self.arcs, self.tails, self.heads = arc[order].tolist(), tail[order].tolist(), head[order].tolist()
+        self.edge = np.where(arc < 0, ~arc, arc)[order]
+        self.first = np.searchsorted(tail[order], np.arange(len(self.ids) + 1)).tolist()
+
+    def number(self, vertex: int) -> int | None:
+        k = int(np.searchsorted(self.ids, vertex))
+        return k if k < len(self.ids) and self.ids[k] == vertex else None
+
+    def weighed(self, weights: np.ndarray) -> list[float]:
+        """The weights of the arcs, in the network's order."""
+        return np.asarray(weights, float)[self.edge].tolist()
+
+    def ways(self, weights: list[float], start: int, goals: set[int]) -> dict[int, tuple[float, list[int]]]:
+        """For each goal that can be reached from another vertex: the least weight and the arcs that have it.
+
+        Vertices are settled by (weight, id), each over the arc that first offered its least weight. The search ends
+        when all goals are settled.
+        """
+        s = self.number(start)
+        open_goals = {k for g in goals if g != start and (k := self.number(g)) is not None}
+        found: dict[int, tuple[float, list[int]]] = {}
+        if s is None or not open_goals:
+            return found
+        offer = {s: 0.0}
+        over = {s: -1}
+        settled: set[int] = set()
+        frontier = [(0.0, s)]
+        while frontier and open_goals:
+            far, here = heapq.heappop(frontier)
+            if here in settled:
+                continue
+            settled.add(here)
+            if here in open_goals:
+                open_goals.discard(here)
+                found[int(self.ids[here])] = far, self._back(over, here)
+            for slot in range(self.first[here], self.first[here + 1]):
+                there = self.heads[slot]
+                if there not in settled and far + weights[slot] < offer.get(there, math.inf):
+                    offer[there] = far + weights[slot]
+                    over[there] = slot
+                    heapq.heappush(frontier, (offer[there], there))
+        return found
+
+    def _back(self, over: dict[int, int], at: int) -> list[int]:
+        out: list[int] = []
+        while (slot := over[at]) >= 0:
+            out.append(self.arcs[slot])
+            at = self.tails[slot]
+        out.reverse()
+        return out
 
 
-def route_line(edges: list[int], lines: list[np.ndarray]) -> np.ndarray:
-    parts = [lines[k] if k >= 0 else lines[-k - 1][::-1] for k in edges]
-    return np.concatenate([parts[0], *(p[1:] for p in parts[1:])])
+def route_line(arcs: list[int], lines: list[np.ndarray]) -> np.ndarray:
+    """The polyline along the arcs; a vertex between two of them counts once."""
+    out = np.concatenate([lines[k] if k >= 0 else lines[~k][::-1] for k in arcs])
+    sizes = np.array([len(lines[k if k >= 0 else ~k]) for k in arcs])
+    return np.delete(out, np.cumsum(sizes)[:-1], axis=0)
 
 
 def corridor_weights(lengths: np.ndarray, samples: np.ndarray, source: np.ndarray, rho: float) -> np.ndarray:

@@ -22,8 +22,13 @@ from netloom.operators.components import connected_components
 from netloom.plans.durable import durable
 
 REQUEST = ["pair_id", "edge_id", "target_u", "target_v"]
-#: Groups that a pair's source edges (or start vertices) are dealt to; each task holds one target graph.
-BUCKETS = 8
+#: Pairs of curves that one array pass compares.
+CURVES_AT_ONCE = 4096
+
+
+def buckets_of(requests: DataFrame) -> int:
+    """Groups that a pair's source edges (or start vertices) are dealt to, as many as the cluster has slots; each task holds one target graph."""
+    return max(8, requests.sparkSession.sparkContext.defaultParallelism)
 
 
 class Objective(StrEnum):
@@ -116,12 +121,14 @@ def _packed(lines: list[np.ndarray]) -> pa.Array:
 class Cost:
     """A local edge cost: guided costs compare curves, the others the length of the shortest path with the edge's."""
 
-    name: CostName
+    name: str
     options: dict = field(default_factory=dict)
+    #: Of a registered cost; it travels to the workers with it.
+    function: Callable[..., float] | None = None
 
     def __post_init__(self):
         o = self.options
-        known = DEFAULTS[self.name]
+        known = DEFAULTS[self.name] if self.name in DEFAULTS else _GUIDED | CUSTOM[self.name].options
         unknown = set(o) - set(known)
         if unknown:
             raise ValueError(f"{self.name} has no option {sorted(unknown)}; it has {sorted(known)}")
@@ -138,23 +145,26 @@ class Cost:
     def guided(self) -> bool:
         return self.name not in (CostName.RELATIVE_LENGTH, CostName.LOG_LENGTH)
 
-    def of(self, source: np.ndarray, witnesses: list[np.ndarray]) -> np.ndarray:
-        """Values of one source line (oriented u to v) against the witnesses (target u to target v)."""
+    def of(self, sources: list[np.ndarray], witnesses: list[np.ndarray]) -> np.ndarray:
+        """Values of source lines (oriented u to v) against as many witnesses (target u to target v)."""
         o = self.options
+        both = list(zip(sources, witnesses, strict=True))
+        if self.function is not None:
+            return np.array([float(self.function(a, b, **{k: x for k, x in o.items() if k not in _GUIDED})) for a, b in both])
         if self.name in (CostName.RELATIVE_LENGTH, CostName.LOG_LENGTH):
             raise ValueError("length costs need distances")
-        if self.name is CostName.MEAN_DISTANCE_TANGENT:
-            return np.array([kernels.mean_distance_tangent(source, w, o["curve_samples"], o["tangent_weight"]) for w in witnesses])
-        if self.name is CostName.HAUSDORFF:
-            return np.array([kernels.hausdorff(source, w, o["densify"]) for w in witnesses])
-        if self.name is CostName.CORRIDOR:
+        if self.name == CostName.MEAN_DISTANCE_TANGENT:
+            return np.array([kernels.mean_distance_tangent(a, b, o["curve_samples"], o["tangent_weight"]) for a, b in both])
+        if self.name == CostName.HAUSDORFF:
+            return np.array([kernels.hausdorff(a, b, o["densify"]) for a, b in both])
+        if self.name == CostName.CORRIDOR:
             radius = o["rho"] if o["corridor_radius"] is None else o["corridor_radius"]
-            return np.array([kernels.corridor_exceedance(source, w, o["curve_samples"], radius) for w in witnesses])
-        curve = kernels.resample(source, o["curve_samples"])
-        many = np.stack([kernels.resample(w, o["curve_samples"]) for w in witnesses])
-        if self.name is CostName.FRECHET:
-            return kernels.discrete_frechet(curve, many)
-        return kernels.time_warping(curve, many, o["warping_window"], o["normalize"])
+            return np.array([kernels.corridor_exceedance(a, b, o["curve_samples"], radius) for a, b in both])
+        out = [np.zeros(0)]
+        for k in range(0, len(both), CURVES_AT_ONCE):
+            one, other = (np.stack([kernels.resample(x, o["curve_samples"]) for x in part[k : k + CURVES_AT_ONCE]]) for part in (sources, witnesses))
+            out.append(kernels.discrete_frechet(one, other) if self.name == CostName.FRECHET else kernels.time_warping(one, other, o["warping_window"], o["normalize"]))
+        return np.concatenate(out)
 
     def of_length(self, distance: float, length: float) -> float:
         if not (length > kernels.SHORTEST and distance > kernels.SHORTEST and math.isfinite(distance)):
@@ -174,17 +184,41 @@ DEFAULTS: dict[CostName, dict] = {
 }
 
 
+@dataclass(frozen=True)
+class CustomCost:
+    """A guided cost of one's own: ``value`` (source line, witness, **own options) gives a number of at least 0, or infinity."""
+
+    value: Callable[..., float]
+    options: dict = field(default_factory=dict)
+
+
+CUSTOM: dict[str, CustomCost] = {}
+
+
+def register_cost(name: str, value: Callable[..., float], **options) -> None:
+    """Adds a cost that compares curves, with its options and their defaults besides rho and edge_samples.
+
+    The function travels to the workers with the query, so it must be known to them by import or be self-contained.
+    """
+    if not name or name in available_costs():
+        raise ValueError(f"there is a cost {name!r} already" if name else "a cost needs a name")
+    CUSTOM[name] = CustomCost(value, dict(options))
+
+
 def available_costs() -> list[str]:
-    return [c.value for c in CostName]
+    return [*(c.value for c in CostName), *CUSTOM]
+
+
+def cost_options(name: str) -> dict:
+    """The options of a cost with their defaults."""
+    return dict(create_cost(name).options)
 
 
 def create_cost(name: str, **options) -> Cost:
-    try:
-        return Cost(CostName(name), options)
-    except ValueError as error:
-        if name in available_costs():
-            raise
-        raise ValueError(f"unknown cost {name!r}; there are {', '.join(available_costs())}") from error
+    known = available_costs()
+    if name not in known:
+        raise ValueError(f"unknown cost {name!r}; there are {', '.join(known)}")
+    return Cost(name, options, CUSTOM[name].value) if name in CUSTOM else Cost(CostName(name), options)
 
 
 def _target_tables(pairs: DataFrame, edges: DataFrame, keys: DataFrame) -> DataFrame:
@@ -204,32 +238,41 @@ class _Target:
         self.lengths = np.array([kernels.length(x) for x in self.lines])
 
 
-def shortest_paths(requests: DataFrame, pairs: DataFrame, edges: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+_WAYS = f"pair_id string, target_u long, target_v long, distance double, witness {geo.POLYLINE}"
+
+
+def shortest_paths(requests: DataFrame, pairs: DataFrame, edges: DataFrame, buckets: int | None = None) -> DataFrame:
     """(pair_id, target_u, target_v, distance, witness) for distinct wanted (pair_id, target_u, target_v).
 
-    Geometric lengths; the tree is rooted at target_u. Unreachable or equal ends have no row.
+    Geometric lengths; searches start at target_u and end at the wanted vertices. Unreachable or equal ends have no row.
     """
-    wanted = requests.select("pair_id", "target_u", "target_v").distinct().withColumn("bucket", F.pmod(F.xxhash64("target_u"), F.lit(buckets)))
+    wanted = requests.select("pair_id", "target_u", "target_v").distinct().withColumn("bucket", F.pmod(F.xxhash64("target_u"), F.lit(buckets or buckets_of(requests))))
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple] = []
+        out: dict[str, list] = {c: [] for c in ("pair_id", "target_u", "target_v", "distance")}
+        lines: list[np.ndarray] = []
         if left.num_rows and right.num_rows:
             t = _Target(right)
-            graph = kernels.adjacency(t.u, t.v, t.lengths)
-            rows = left.select(["pair_id", "target_u", "target_v"]).to_pylist()
-            trees: dict[int, tuple] = {}
-            for r in rows:
-                a, b = r["target_u"], r["target_v"]
-                if a not in trees:
-                    trees[a] = kernels.shortest_tree(graph, a)
-                way = kernels.route(trees[a][1], a, b)
-                if way is not None:
-                    found.append((r["pair_id"], a, b, trees[a][0][b], kernels.route_line(way, t.lines)))
-        cols = list(zip(*found)) if found else [[]] * 5
-        return pa.table({"pair_id": pa.array(cols[0], pa.string()), "target_u": pa.array(cols[1], pa.int64()), "target_v": pa.array(cols[2], pa.int64()), "distance": pa.array(cols[3], pa.float64()), "witness": _packed(list(cols[4]))})
+            net = kernels.Network(t.u, t.v)
+            weights = net.weighed(t.lengths)
+            pair = left["pair_id"][0].as_py()
+            for start, goals in _by_start(left["target_u"].to_numpy(), left["target_v"].to_numpy()):
+                for goal, (far, arcs) in net.ways(weights, start, goals).items():
+                    for c, x in zip(out, (pair, start, goal, far), strict=True):
+                        out[c].append(x)
+                    lines.append(kernels.route_line(arcs, t.lines))
+        kinds = {"pair_id": pa.string(), "distance": pa.float64()}
+        return pa.table({c: pa.array(x, kinds.get(c, pa.int64())) for c, x in out.items()} | {"witness": _packed(lines)})
 
     by = ["pair_id", "bucket"]
-    return wanted.groupBy(*by).cogroup(_target_tables(pairs, edges, wanted).groupBy(*by)).applyInArrow(solve, f"pair_id string, target_u long, target_v long, distance double, witness {geo.POLYLINE}")
+    return wanted.groupBy(*by).cogroup(_target_tables(pairs, edges, wanted).groupBy(*by)).applyInArrow(solve, _WAYS)
+
+
+def _by_start(starts: np.ndarray, goals: np.ndarray) -> list[tuple[int, set[int]]]:
+    grouped: dict[int, set[int]] = {}
+    for a, b in zip(starts.tolist(), goals.tolist(), strict=True):
+        grouped.setdefault(a, set()).add(b)
+    return sorted(grouped.items())
 
 
 def oriented_source(pairs: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -240,57 +283,60 @@ def oriented_source(pairs: DataFrame, vertices: DataFrame, edges: DataFrame) ->
     return e.select("pair_id", "edge_id", "u", "v", geo.orient(F.col("polyline"), F.col("pu"), F.col("pv")).alias("line"), geo.length(F.col("polyline")).alias("length"))
 
 
-def edge_costs(requests: DataFrame, pairs: DataFrame, vertices: DataFrame, edges: DataFrame, cost: Cost, buckets: int = BUCKETS) -> DataFrame:
-    """(pair_id, edge_id, u, v, target_u, target_v, value, witness) of all requests with a finite cost."""
+def guided_paths(requests: DataFrame, pairs: DataFrame, vertices: DataFrame, edges: DataFrame, rho: float = 10.0, edge_samples: int = 12, buckets: int | None = None) -> DataFrame:
+    """(pair_id, edge_id, u, v, target_u, target_v, line, witness): the source line of each request and the path that leaves its corridor least.
+
+    All guided costs with the same ``rho`` and ``edge_samples`` compare the same lines. Unreachable requests have no row.
+    """
     source = oriented_source(pairs, vertices, edges)
-    if not cost.guided:
-        paths = shortest_paths(requests, pairs, edges, buckets)
-        met = requests.join(paths, ["pair_id", "target_u", "target_v"]).join(source.select("pair_id", "edge_id", "length"), ["pair_id", "edge_id"])
-        ratio = F.col("distance") / F.col("length")
-        value = F.abs(ratio - 1) if cost.name is CostName.RELATIVE_LENGTH else F.abs(F.log(ratio))
-        good = (F.col("length") > kernels.SHORTEST) & (F.col("distance") > kernels.SHORTEST)
-        return met.where(good).select("pair_id", "edge_id", "u", "v", "target_u", "target_v", value.alias("value"), "witness")
-    asked = requests.join(source.select("pair_id", "edge_id", "line"), ["pair_id", "edge_id"]).withColumn("bucket", F.pmod(F.xxhash64("edge_id"), F.lit(buckets)))
+    asked = requests.join(source.select("pair_id", "edge_id", "line"), ["pair_id", "edge_id"]).withColumn("bucket", F.pmod(F.xxhash64("edge_id"), F.lit(buckets or buckets_of(requests))))
+    keys = ("pair_id", "edge_id", "u", "v", "target_u", "target_v")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("pair_id", "edge_id", "u", "v", "target_u", "target_v", "value")}
+        picked: list[int] = []
         lines: list[np.ndarray] = []
         if left.num_rows and right.num_rows:
             t = _Target(right)
-            samples = np.stack([kernels.resample(x, cost.options["edge_samples"]) for x in t.lines])
+            net = kernels.Network(t.u, t.v)
+            samples = np.stack([kernels.resample(x, edge_samples) for x in t.lines])
             left = left.sort_by([("edge_id", "ascending"), ("target_u", "ascending"), ("target_v", "ascending")])
-            ids = left["edge_id"].to_numpy()
+            ids, starts, goals = (left[c].to_numpy() for c in ("edge_id", "target_u", "target_v"))
             source_lines = _lines(left["line"])
-            rows = left.select(["pair_id", "edge_id", "u", "v", "target_u", "target_v"]).to_pylist()
             cuts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                source_line = source_lines[a]
-                weights = kernels.corridor_weights(t.lengths, samples, source_line, cost.options["rho"])
-                graph = kernels.adjacency(t.u, t.v, weights)
-                trees: dict[int, dict] = {}
-                some, ways = [], []
-                for r in rows[a:b]:
-                    if r["target_u"] not in trees:
-                        trees[r["target_u"]] = kernels.shortest_tree(graph, r["target_u"])[1]
-                    way = kernels.route(trees[r["target_u"]], r["target_u"], r["target_v"])
-                    if way is not None:
-                        some.append(r)
-                        ways.append(kernels.route_line(way, t.lines))
-                if some:
-                    for r, w, value in zip(some, ways, cost.of(source_line, ways).tolist(), strict=True):
-                        if math.isfinite(value):
-                            for c in ("pair_id", "edge_id", "u", "v", "target_u", "target_v"):
-                                out[c].append(r[c])
-                            out["value"].append(value)
-                            lines.append(w)
-        kinds = {"pair_id": pa.string(), "value": pa.float64()}
-        return pa.table({c: pa.array(x, kinds.get(c, pa.int64())) for c, x in out.items()} | {"witness": _packed(lines)})
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                weights = net.weighed(kernels.corridor_weights(t.lengths, samples, source_lines[a], rho))
+                found = {(s, g): arcs for s, wanted in _by_start(starts[a:b], goals[a:b]) for g, (_, arcs) in net.ways(weights, s, wanted).items()}
+                for k in range(a, b):
+                    if arcs := found.get((int(starts[k]), int(goals[k]))):
+                        picked.append(k)
+                        lines.append(kernels.route_line(arcs, t.lines))
+        kept = left.select([*keys, "line"]).take(pa.array(picked, pa.int64()))
+        return kept.append_column("witness", _packed(lines))
 
     by = ["pair_id", "bucket"]
-    schema = f"pair_id string, edge_id long, u long, v long, target_u long, target_v long, value double, witness {geo.POLYLINE}"
+    schema = f"pair_id string, edge_id long, u long, v long, target_u long, target_v long, line {geo.POLYLINE}, witness {geo.POLYLINE}"
     return asked.groupBy(*by).cogroup(_target_tables(pairs, edges, asked).groupBy(*by)).applyInArrow(solve, schema)
 
 
+def valued(paths: DataFrame, cost: Cost) -> DataFrame:
+    """(pair_id, edge_id, u, v, target_u, target_v, value, witness) of guided paths, without infinite values."""
+    found = curve_costs(paths.withColumnsRenamed({"line": "line_a", "witness": "line_b"}), cost).withColumnRenamed("line_b", "witness")
+    return found.where(~F.isnan("value") & (F.col("value") < math.inf)).select("pair_id", "edge_id", "u", "v", "target_u", "target_v", "value", "witness")
+
+
+def edge_costs(requests: DataFrame, pairs: DataFrame, vertices: DataFrame, edges: DataFrame, cost: Cost, buckets: int | None = None) -> DataFrame:
+    """(pair_id, edge_id, u, v, target_u, target_v, value, witness) of all requests with a finite cost."""
+    if cost.guided:
+        return valued(guided_paths(requests, pairs, vertices, edges, cost.options["rho"], cost.options["edge_samples"], buckets), cost)
+    source = oriented_source(pairs, vertices, edges)
+    paths = shortest_paths(requests, pairs, edges, buckets)
+    met = requests.join(paths, ["pair_id", "target_u", "target_v"]).join(source.select("pair_id", "edge_id", "length"), ["pair_id", "edge_id"])
+    ratio = F.col("distance") / F.col("length")
+    value = F.abs(ratio - 1) if cost.name == CostName.RELATIVE_LENGTH else F.abs(F.log(ratio))
+    good = (F.col("length") > kernels.SHORTEST) & (F.col("distance") > kernels.SHORTEST)
+    return met.where(good).select("pair_id", "edge_id", "u", "v", "target_u", "target_v", value.alias("value"), "witness")
+
+
 # --- dominance ------------------------------------------------------------------------------------------------------
 
 
@@ -513,7 +559,7 @@ def curve_costs(curves: DataFrame, cost: Cost) -> DataFrame:
     from pyspark.sql import types as T
 
     @F.arrow_udf(T.DoubleType())
-    def valued(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([float(cost.of(x, [y])[0]) for x, y in zip(_lines(a), _lines(b), strict=True)], pa.float64())
+    def compared(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(cost.of(_lines(a), _lines(b)), pa.float64())
 
-    return curves.withColumn("value", valued(F.col("line_a"), F.col("line_b")))
+    return curves.withColumn("value", compared(F.col("line_a"), F.col("line_b")))

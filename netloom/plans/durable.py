@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``. Only where it is unset, as in local tests, a temporary folder is set."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset a local session gets a temporary folder, a cluster an error:
+    executors could not share the driver's disk."""
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
-    chosen = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="netloom-checkpoint-")
+    chosen = spark.conf.get("spark.checkpoint.dir", None)
+    if not chosen:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        chosen = tempfile.mkdtemp(prefix="netloom-checkpoint-")
     spark.sparkContext.setCheckpointDir(chosen)
     return chosen
 

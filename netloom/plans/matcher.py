@@ -33,7 +33,7 @@ class Solution:
 
 
 def cost_id(cost: m.Cost) -> str:
-    return f"{cost.name.value} {json.dumps(cost.options, sort_keys=True)}"
+    return f"{cost.name!s} {json.dumps(cost.options, sort_keys=True)}"
 
 
 class Matcher:
@@ -48,7 +48,8 @@ class Matcher:
             ranked, self.pairs, self.vertices, self.edges = cand.mode_candidates(pairs, vertices, edges, mode, rho, top_k, **options)
             self.ranked = durable(ranked)
             self.candidates = self.ranked.select("pair_id", "source_vertex", "target_vertex")
-        self._costs: dict[tuple[str, bool], DataFrame] = {}
+        self._costs: dict[str, DataFrame] = {}
+        self._witnesses: dict[tuple[float, int], DataFrame] = {}
 
     @cached_property
     def sources(self) -> tuple[DataFrame, DataFrame]:
@@ -78,10 +79,24 @@ class Matcher:
         """Values and witnesses of all requests that the effective candidates allow; kept for each cost and options."""
         key = cost_id(cost)
         if key not in self._costs:
-            asked = m.all_requests(self.effective, self.pairs, self.edges)
-            self._costs[key] = durable(m.edge_costs(asked, self.pairs, self.vertices, self.edges, cost))
+            if cost.guided:
+                found = m.valued(self.witnesses(cost.options["rho"], cost.options["edge_samples"]), cost)
+            else:
+                found = m.edge_costs(self.requests, self.pairs, self.vertices, self.edges, cost)
+            self._costs[key] = durable(found)
         return self._costs[key]
 
+    @cached_property
+    def requests(self) -> DataFrame:
+        return m.all_requests(self.effective, self.pairs, self.edges)
+
+    def witnesses(self, rho: float, edge_samples: int) -> DataFrame:
+        """Guided paths of all requests; kept, since all guided costs with these two options share them."""
+        key = (rho, edge_samples)
+        if key not in self._witnesses:
+            self._witnesses[key] = durable(m.guided_paths(self.requests, self.pairs, self.vertices, self.edges, rho, edge_samples))
+        return self._witnesses[key]
+
     def _within(self, domains: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame]:
         """(pairs to solve, pairs over the limit); a limit of 0 or less, as None, is none."""
         if not limit or limit <= 0:

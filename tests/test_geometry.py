@@ -117,11 +117,43 @@ def test_bisector_tangents():
     assert np.allclose(np.abs(kernels.sample_tangents(back, 3)[1]), [[1, 0]] * 3)
 
 
-def test_shortest_tree_ties_and_routes():
-    u, v = np.array([10, 20, 10, 30]), np.array([20, 40, 30, 40])
-    graph = kernels.adjacency(u, v, np.array([1.0, 1, 2, 2]))
-    best, parent = kernels.shortest_tree(graph, 10)
-    assert best[40] == 2 and kernels.route(parent, 10, 40) == [0, 1] and kernels.route(parent, 10, 10) is None and kernels.route(parent, 10, 99) is None
-    tied = kernels.adjacency(u, v, np.ones(4))
-    assert kernels.route(kernels.shortest_tree(tied, 10)[1], 10, 40) == [0, 1]
-    assert kernels.route(kernels.shortest_tree(tied, 40)[1], 40, 10) == [-2, -1]
+def test_shortest_ways_and_ties():
+    net = kernels.Network(np.array([10, 20, 10, 30]), np.array([20, 40, 30, 40]))
+    weights = net.weighed(np.array([1.0, 1, 2, 2]))
+    assert net.ways(weights, 10, {40, 10, 99}) == {40: (2.0, [0, 1])} and net.ways(weights, 99, {40}) == {} and net.ways(weights, 10, {10}) == {}
+    tied = net.weighed(np.ones(4))
+    assert net.ways(tied, 10, {40})[40][1] == [0, 1] and net.ways(tied, 40, {10})[10][1] == [-2, -1]
+    # of parallel edges of equal weight the first counts
+    double = kernels.Network(np.array([1, 2, 1]), np.array([2, 1, 2]))
+    assert double.ways(double.weighed(np.ones(3)), 1, {2})[2][1] == [0] and double.ways(double.weighed(np.array([2.0, 1, 1])), 1, {2})[2][1] == [-2]
+
+
+def test_shortest_ways_against_floyd_warshall():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        u, v = rng.integers(0, 9, 14), rng.integers(0, 9, 14)
+        w = rng.integers(1, 9, 14).astype(float)
+        far = np.full((9, 9), np.inf)
+        np.fill_diagonal(far, 0)
+        for a, b, x in zip(u, v, w):
+            far[a, b] = far[b, a] = min(far[a, b], x) if a != b else 0
+        for k in range(9):
+            far = np.minimum(far, far[:, [k]] + far[[k]])
+        net = kernels.Network(u, v)
+        for s in range(9):
+            found = net.ways(net.weighed(w), s, set(range(9)))
+            assert {g: d for g, (d, _) in found.items()} == {g: far[s, g] for g in range(9) if g != s and np.isfinite(far[s, g])}
+            for g, (d, arcs) in found.items():
+                at = s
+                for k in arcs:
+                    a, b = (u[k], v[k]) if k >= 0 else (v[~k], u[~k])
+                    assert a == at
+                    at = b
+                assert at == g and sum(w[k if k >= 0 else ~k] for k in arcs) == d
+
+
+def test_stacked_curves_equal_single_ones():
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(5, 7, 2)), rng.normal(size=(5, 9, 2))
+    for kernel in (kernels.discrete_frechet, lambda x, y: kernels.time_warping(x, y, 4, True)):
+        assert np.allclose(kernel(a, b), [kernel(x, y[None])[0] for x, y in zip(a, b)])
