@@ -417,9 +417,11 @@ OBJECTIVES = ("additive", "bottleneck", "length_weighted_additive")
 MOST_CELLS = 100_000_000
 
 
-def solve_bags(tree: Decomposition, domains: dict[int, np.ndarray], costs: dict[int, np.ndarray], weights: dict[int, float], objective: str) -> tuple[float, dict[int, int]] | None:
+def solve_bags(tree: Decomposition, domains: dict[int, np.ndarray], costs: dict[int, np.ndarray], weights: dict[int, float], objective: str, counts: list[tuple[int, int]] | None = None) -> tuple[float, dict[int, int]] | None:
     """The least objective and a mapping that has it, or None if there is none.
 
+    ``counts`` is given, for each bag done, its states of finite value and its message's entries of finite value.
+
     ``domains`` are sorted candidates, ``costs`` a matrix (candidates of u, candidates of v) for each edge with infinity
     where it is not allowed. Of equal values a bag's lexicographically smallest state wins.
     """
@@ -454,6 +456,8 @@ def solve_bags(tree: Decomposition, domains: dict[int, np.ndarray], costs: dict[
         best = flat.argmin(axis=-1)
         choices.append(best)
         messages[k] = np.take_along_axis(flat, best[..., None], axis=-1)[..., 0]
+        if counts is not None:
+            counts.append((int(np.isfinite(value).sum()), int(np.isfinite(messages[k]).sum())))
     total = float(messages[len(tree.bags) - 1])
     if not math.isfinite(total):
         return None

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import math
 from enum import StrEnum
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import geometry as geo
+from netloom.plans.durable import durable
 
 RHO, TOP_K = 10.0, 25
 #: Squared length up to which a segment takes no part in candidate distances.
@@ -32,8 +34,15 @@ def check_parameters(rho: float, top_k: int | None) -> None:
         raise ValueError(f"top_k must be at least 1: {top_k}")
 
 
-def segments(edges: DataFrame) -> DataFrame:
-    """(graph, edge_id, edge_pos, u, v, seg_ix, sx, sy, vx, vy, len2) of all segments with length."""
+def segments(edges: DataFrame, strict: bool = True) -> DataFrame:
+    """(graph, edge_id, edge_pos, u, v, seg_ix, sx, sy, vx, vy, len2) of all segments with length.
+
+    An edge without any is an error, unless ``strict`` is off.
+    """
+    if strict:
+        longer = F.exists(geo.steps(F.col("polyline")), lambda x: x["vx"] * x["vx"] + x["vy"] * x["vy"] > DEGENERATE)
+        message = F.concat(F.lit("edge "), F.col("edge_id").cast("string"), F.lit(" of graph "), F.col("graph"), F.lit(" has no usable segment"))
+        edges = edges.withColumn("polyline", F.when(longer, F.col("polyline")).otherwise(F.raise_error(message).cast(geo.POLYLINE)))
     out = edges.select("graph", "edge_id", "edge_pos", "u", "v", F.posexplode(geo.steps(F.col("polyline"))).alias("seg_ix", "s"))
     out = out.select("graph", "edge_id", "edge_pos", "u", "v", "seg_ix", "s.sx", "s.sy", "s.vx", "s.vy", (F.col("s.vx") * F.col("s.vx") + F.col("s.vy") * F.col("s.vy")).alias("len2"))
     return out.where(F.col("len2") > DEGENERATE)
@@ -49,9 +58,11 @@ def _cell(x: Column, g: Column) -> Column:
     return F.floor(x / g)
 
 
-def near_edges(pairs: DataFrame, vertices: DataFrame, edges: DataFrame, rho: float) -> DataFrame:
+def near_edges(pairs: DataFrame, vertices: DataFrame, edges: DataFrame, rho: float, points: DataFrame | None = None) -> DataFrame:
     """(pair_id, source_vertex, edge_id, edge_pos, u, v, distance) for edges within ``rho`` of a source vertex, inclusive.
 
+    ``points`` limits the source vertices; by default all take part.
+
     Cells as wide as the radius or the mean segment, whichever is more, turn the range join into an equi-join: a
     segment is copied to the cells that its box, widened by the radius, touches; a point lies in one cell.
     """
@@ -63,7 +74,7 @@ def near_edges(pairs: DataFrame, vertices: DataFrame, edges: DataFrame, rho: flo
     xs = F.sequence(_cell(F.least(F.col("sx"), F.col("sx") + F.col("vx")) - rho, F.col("g")), _cell(F.greatest(F.col("sx"), F.col("sx") + F.col("vx")) + rho, F.col("g")))
     ys = F.sequence(_cell(F.least(F.col("sy"), F.col("sy") + F.col("vy")) - rho, F.col("g")), _cell(F.greatest(F.col("sy"), F.col("sy") + F.col("vy")) + rho, F.col("g")))
     placed = boxed.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys)).withColumnRenamed("graph", "target").drop("g", "seg_ix")
-    points = source_points(pairs, vertices).join(width.withColumnRenamed("graph", "target"), "target")
+    points = (source_points(pairs, vertices) if points is None else points).join(width.withColumnRenamed("graph", "target"), "target")
     points = points.withColumn("cx", _cell(F.col("px"), F.col("g"))).withColumn("cy", _cell(F.col("py"), F.col("g"))).drop("g")
     met = points.join(placed, ["target", "cx", "cy"])
     d2 = geo.squared_distance(*(F.col(c) for c in ("px", "py", "sx", "sy", "vx", "vy", "len2")))
@@ -144,21 +155,26 @@ def candidate_statistics(candidates: DataFrame, pairs: DataFrame, vertices: Data
     )
 
 
-def minimum_radius(pairs: DataFrame, vertices: DataFrame, edges: DataFrame, precision: float = 0.0) -> DataFrame:
+def minimum_radius(pairs: DataFrame, vertices: DataFrame, edges: DataFrame, precision: float = 0.0, mode: CandidateMode = CandidateMode.JUNCTIONS) -> DataFrame:
     """(pair_id, radius): the smallest radius at which no source vertex is without candidates, in closed form.
 
-    It is the largest distance of a source vertex from its nearest edge, found by doubling a bounded range join until
-    every vertex has met an edge. ``precision`` rounds it up to a multiple.
+    It is the largest distance of a source vertex from its nearest edge, found by doubling a bounded range join for the
+    vertices that have met none yet. ``precision`` rounds it up to a multiple. The other modes have the same radius: they
+    add points of the target's edges, and none of these is nearer than its edge. A target without a usable edge has a
+    null radius.
     """
-    points = source_points(pairs, vertices)
-    wanted = points.count()
+    CandidateMode(mode)
+    usable = segments(edges, strict=False).select(F.col("graph").alias("target")).distinct()
+    left = durable(source_points(pairs, vertices).join(usable, "target", "left_semi"))
+    settled: list[DataFrame] = []
     rho = 1.0
-    for _ in range(60):
-        best = near_edges(pairs, vertices, edges, rho).groupBy("pair_id", "source_vertex").agg(F.min("distance").alias("d"))
-        if best.count() == wanted or rho > 1e15:
-            break
+    while left.limit(1).count():
+        best = durable(near_edges(pairs, vertices, edges, rho, left).groupBy("pair_id", "source_vertex").agg(F.min("distance").alias("d")))
+        settled.append(best.groupBy("pair_id").agg(F.max("d").alias("d")))
+        left = durable(left.join(best, ["pair_id", "source_vertex"], "left_anti"))
         rho *= 2
-    out = best.groupBy("pair_id").agg(F.max("d").alias("radius"))
+    radius = reduce(DataFrame.unionByName, settled).groupBy("pair_id").agg(F.max("d").alias("radius")) if settled else pairs.limit(0).select("pair_id", F.lit(None).cast("double").alias("radius"))
+    out = pairs.select("pair_id").join(radius, "pair_id", "left")
     return out.withColumn("radius", F.ceil(F.col("radius") / precision) * precision) if precision > 0 else out
 
 

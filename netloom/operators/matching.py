@@ -47,6 +47,17 @@ class CostName(StrEnum):
     WARPING = "dynamic_time_warping_distance"
 
 
+class Dominance(StrEnum):
+    """Whether dominated candidates are pruned; AUTO does so for the cost whose program is the most expensive to feed."""
+
+    OFF = "off"
+    ON = "on"
+    AUTO = "auto"
+
+    def applies(self, cost: Cost) -> bool:
+        return self is Dominance.ON or (self is Dominance.AUTO and cost.name == CostName.FRECHET)
+
+
 # --- components and arc consistency ---------------------------------------------------------------------------------
 
 
@@ -360,12 +371,22 @@ def dominance_pairs(candidates: DataFrame, costs: DataFrame, arcs_edges: DataFra
     return both.join(worse.select("pair_id", "s", "a", "b").distinct(), ["pair_id", "s", "a", "b"], "left_anti")
 
 
-def dominance_prune(candidates: DataFrame, costs: DataFrame, arcs_edges: DataFrame) -> DataFrame:
-    """Candidates without those that another dominates (of two that dominate each other the smaller id stays), to a fixpoint."""
+def dominance_prune(candidates: DataFrame, costs: DataFrame, arcs_edges: DataFrame, comparison_limit: int | None = None) -> DataFrame:
+    """Candidates without those that another dominates (of two that dominate each other the smaller id stays), to a fixpoint.
+
+    A pass compares every ordered pair of a source vertex's candidates. With ``comparison_limit`` a graph pair whose
+    comparisons would exceed it in all skips that pass and keeps the candidates it has.
+    """
     now = durable(candidates.select("pair_id", "source_vertex", "target_vertex").distinct())
     n = now.count()
+    used = None
     while True:
-        found = dominance_pairs(now, costs, arcs_edges)
+        open_ = now
+        if comparison_limit is not None:
+            work = now.groupBy("pair_id", "source_vertex").agg(F.count("*").alias("k")).groupBy("pair_id").agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("work"))
+            used = durable(work if used is None else work.join(used.withColumnRenamed("work", "before"), "pair_id").select("pair_id", (F.col("work") + F.col("before")).alias("work")))
+            open_ = now.join(used.where(F.col("work") <= comparison_limit), "pair_id", "left_semi")
+        found = dominance_pairs(open_, costs, arcs_edges)
         mutual = found.select("pair_id", "s", F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("back"))
         gone = found.join(mutual, ["pair_id", "s", "a", "b"], "left").where(F.col("back").isNull() | (F.col("a") < F.col("b")))
         gone = gone.select("pair_id", F.col("s").alias("source_vertex"), F.col("b").alias("target_vertex")).distinct()
@@ -425,7 +446,9 @@ def largest_bags(found: DataFrame, n: int = 10) -> DataFrame:
 
 
 def solve(candidates: DataFrame, costs: DataFrame, pairs: DataFrame, vertices: DataFrame, edges: DataFrame, objectives: tuple[str, ...] = tuple(Objective)) -> DataFrame:
-    """(pair_id, objective, feasible, value, source_vertex, target_vertex): optimal mappings of many pairs, one group each.
+    """(pair_id, objective, feasible, value, states, messages, source_vertex, target_vertex): optimal mappings of many pairs, one group each.
+
+    ``states`` are the bag states of finite value that the program met, ``messages`` the entries that bags hand on.
 
     An infeasible objective has one row without value and vertices. Bag tables are dense arrays, so the least value and
     its lexicographically smallest state come from array reductions.
@@ -438,7 +461,7 @@ def solve(candidates: DataFrame, costs: DataFrame, pairs: DataFrame, vertices: D
     left = costs.select("pair_id", "edge_id", "target_u", "target_v", "value")
 
     def run(rows: pa.Table, rest: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("pair_id", "objective", "feasible", "value", "source_vertex", "target_vertex")}
+        out: dict[str, list] = {c: [] for c in ("pair_id", "objective", "feasible", "value", "states", "messages", "source_vertex", "target_vertex")}
         pair = rest["pair_id"][0].as_py()
         kind = np.array(rest["kind"].to_pylist())
         a, b, c, w = (rest[x].to_numpy() for x in "abcw")
@@ -463,14 +486,16 @@ def solve(candidates: DataFrame, costs: DataFrame, pairs: DataFrame, vertices: D
                 table[i[on], j[on]] = np.where(np.isnan(value[lo:hi][on]), np.inf, value[lo:hi][on])
             tables[k] = table
         for objective in objectives:
-            found = kernels.solve_bags(tree, domains, tables, weights, str(objective)) if all(len(x) for x in domains.values()) else None
+            counts: list[tuple[int, int]] = []
+            found = kernels.solve_bags(tree, domains, tables, weights, str(objective), counts) if all(len(x) for x in domains.values()) else None
+            states, entries = (sum(x) for x in zip(*counts, strict=True)) if counts else (0, 0)
             for s, t in found[1].items() if found else [(None, None)]:
-                for col, x in zip(out, (pair, str(objective), found is not None, found[0] if found else None, s, t), strict=True):
+                for col, x in zip(out, (pair, str(objective), found is not None, found[0] if found else None, states, entries, s, t), strict=True):
                     out[col].append(x)
-        kinds = (pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.int64(), pa.int64())
+        kinds = (pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         return pa.table({col: pa.array(x, t) for (col, x), t in zip(out.items(), kinds, strict=True)})
 
-    return left.groupBy("pair_id").cogroup(right.groupBy("pair_id")).applyInArrow(run, "pair_id string, objective string, feasible boolean, value double, source_vertex long, target_vertex long")
+    return left.groupBy("pair_id").cogroup(right.groupBy("pair_id")).applyInArrow(run, "pair_id string, objective string, feasible boolean, value double, states long, messages long, source_vertex long, target_vertex long")
 
 
 def solve_relational(candidates: DataFrame, costs: DataFrame, tree: kernels.Decomposition, objective: str, weights: dict[int, float] | None = None) -> DataFrame:

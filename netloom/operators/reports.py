@@ -129,14 +129,46 @@ def farthest_points(points: list[tuple[int, float, float]], n: int) -> list[int]
     return chosen
 
 
-def request_diagnostics(requests: DataFrame, costs: DataFrame, paths: DataFrame) -> DataFrame:
-    """How many requests have equal targets, no witness, a witness but no finite cost, or a cost."""
+def request_diagnostics(requests: DataFrame, costs: DataFrame, paths: DataFrame, shortest: float = 1e-12) -> DataFrame:
+    """How many requests have equal targets, no witness, one without length, one with length but no finite cost, or a cost.
+
+    ``paths`` is (pair_id, target_u, target_v, distance).
+    """
     keys = ["pair_id", "target_u", "target_v"]
-    met = requests.join(paths.select(*keys, F.lit(True).alias("_path")), keys, "left").join(costs.select("pair_id", "edge_id", "target_u", "target_v", F.lit(True).alias("_cost")), ["pair_id", "edge_id", "target_u", "target_v"], "left")
-    kind = F.when(F.col("target_u") == F.col("target_v"), "same target").when(F.col("_path").isNull(), "no witness").when(F.col("_cost").isNull(), "no finite cost").otherwise("cost")
+    met = requests.join(paths.select(*keys, "distance"), keys, "left").join(costs.select("pair_id", "edge_id", "target_u", "target_v", F.lit(True).alias("has_cost")), ["pair_id", "edge_id", "target_u", "target_v"], "left")
+    kind = F.when(F.col("target_u") == F.col("target_v"), "same target").when(F.col("distance").isNull(), "no witness").when(F.col("distance") <= shortest, "zero length").when(F.col("has_cost").isNull(), "no finite cost").otherwise("cost")
     return met.groupBy("pair_id", kind.alias("category")).agg(F.count("*").alias("requests"))
 
 
+def _digest(rows: DataFrame, keys: list[str], order: list[str], text, name: str) -> DataFrame:
+    """SHA-256 of the texts of a group's rows in order, one a line; the lists are those of one graph pair."""
+    listed = F.array_sort(F.collect_list(F.struct(*order, text.alias("text"))))
+    return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["text"]), "\n"), 256).alias(name))
+
+
+def candidate_digest(candidates: DataFrame) -> DataFrame:
+    """(pair_id, candidates): a digest of the candidate sets, ``s:t`` by source and target vertex."""
+    return _digest(candidates, ["pair_id"], ["source_vertex", "target_vertex"], F.concat_ws(":", "source_vertex", "target_vertex"), "candidates")
+
+
+def decomposition_digest(bags: DataFrame) -> DataFrame:
+    """(graph, bags): a digest of the rooted bags in postorder: parent, vertices and owned edges."""
+    text = F.concat_ws("|", F.coalesce(F.col("parent_bag_id").cast("string"), F.lit("-")), F.concat_ws(",", F.col("variables").cast("array<string>")), F.concat_ws(",", F.col("edge_ids").cast("array<string>")))
+    return _digest(bags, ["graph"], ["bag_id"], text, "bags")
+
+
+def solution_digest(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pair_id, objective, value, edges): the exact value as a hexadecimal float, and a digest of the edges' values and witnesses.
+
+    Equal digests of two runs mean equal bits.
+    """
+    hexed = "%a"
+    points = F.concat_ws(",", F.transform("witness", lambda p: F.format_string("%a %a", p["x"], p["y"])))
+    text = F.concat_ws("|", "edge_id", "target_u", "target_v", F.format_string(hexed, F.col("value")), points)
+    found = _digest(edges, ["pair_id", "objective"], ["edge_id"], text, "edges")
+    return values.where("feasible").select("pair_id", "objective", F.format_string(hexed, F.col("value")).alias("value")).join(found, ["pair_id", "objective"], "left")
+
+
 def histogram(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Counts of values in sqrt(n) equal bins, from 5 to 30."""
     every = Window.partitionBy(*keys)

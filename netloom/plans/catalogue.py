@@ -13,7 +13,7 @@ from netloom.operators import candidates as cand
 from netloom.operators import matching as m
 from netloom.operators import prepare
 from netloom.operators import reports
-from netloom.plans import fixtures
+from netloom.plans import fixtures, studies
 from netloom.plans.matcher import Matcher
 from netloom.sources import graph_text
 
@@ -98,7 +98,15 @@ def min_candidate_radius(spark, sf_dir):
     return cand.minimum_radius(*_problem(spark, sf_dir)).select(F.round("radius", 6).alias("radius"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NET}, ed AS (SELECT s, e, sqrt(min({_D2})) AS d FROM sp, ns GROUP BY 1, 2),
+c AS (SELECT s, e, ix, {_D2} AS d2, CASE WHEN ix = 0 THEN 0 ELSE length - len END + least(greatest(((px - sx) * vx + (py - sy) * vy) / len2, 0.0), 1.0) * len AS a, length FROM sp, ns JOIN nl USING (e, u, v)),
+n AS (SELECT s, e, a, length, sqrt(d2) AS d FROM c SEMI JOIN (SELECT s, e FROM ed WHERE d <= {RHO}) q USING (s, e) QUALIFY row_number() OVER (PARTITION BY s, e ORDER BY d2, ix) = 1),
+k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY s ORDER BY d, e, a / length) <= 8),
+o AS (SELECT e, a, length, row_number() OVER (PARTITION BY e ORDER BY a) AS i FROM k WHERE a >= 1 AND length - a >= 1),
+f AS (SELECT e, i, a AS last, true AS taken, length FROM o WHERE i = 1 UNION ALL SELECT o.e, o.i, CASE WHEN o.a - f.last >= 1 THEN o.a ELSE f.last END, o.a - f.last >= 1, o.length FROM f JOIN o ON o.e = f.e AND o.i = f.i + 1),
+t AS (SELECT e, last AS d, row_number() OVER (ORDER BY e, last) AS nth FROM f WHERE taken),
+p AS (SELECT t.nth, avg(sx + (d - start) / len * vx) AS x, avg(sy + (d - start) / len * vy) AS y FROM t JOIN (SELECT ns.*, CASE WHEN ix = 0 THEN 0 ELSE length - len END AS start FROM ns JOIN nl USING (e, u, v)) g ON t.e = g.e AND d >= start AND (d < start + len OR ix = 1) GROUP BY 1)
+SELECT v AS vertex_id, round(x, 6) AS x, round(y, 6) AS y FROM nv UNION ALL SELECT (SELECT max(v) FROM nv) + nth, round(x, 6), round(y, 6) FROM p""")
 def adaptive_subdivision(spark, sf_dir):
     pairs, vertices, edges = _problem(spark, sf_dir)
     pairs, vertices, edges = cand.subdivide_adaptive(pairs, vertices, edges, RHO)
@@ -185,6 +193,15 @@ def graph_degree(spark, sf_dir):
     return prepare.degrees(*_thin(spark, sf_dir)).select("vertex_id", "degree")
 
 
+_LOOPED = "le AS (SELECT * FROM ne WHERE v = u + 1 OR v = u + 10 AND u % 10 IN (0, 1) AND (u // 10) % 2 = 0 OR v = u + 10 AND u % 10 = 9 AND (u // 10) % 2 = 1)"
+
+
+def _looped(spark, sf_dir):
+    """Rows of the network joined to a strip with one cycle of four edges for every two rows."""
+    v, e = fixtures.net_vertices(spark, sf_dir), fixtures.net_edges(spark, sf_dir)
+    return v, e.where("v = u + 1 or (v = u + 10 and u % 10 in (0, 1) and u div 10 % 2 = 0) or (v = u + 10 and u % 10 = 9 and u div 10 % 2 = 1)")
+
+
 _REACH = f"""WITH RECURSIVE {_NET}, {_THIN}, bo AS (SELECT u AS a, v AS b FROM te UNION ALL SELECT v, u FROM te),
 re AS (SELECT v AS a, v AS b FROM nv UNION SELECT re.a, bo.b FROM re JOIN bo ON re.b = bo.a),
 co AS (SELECT a AS v, min(b) AS c FROM re GROUP BY 1), de AS (SELECT nv.v, count(a) AS d FROM nv LEFT JOIN bo ON a = nv.v GROUP BY 1)"""
@@ -262,10 +279,24 @@ def preflight_estimate(spark, sf_dir):
     return found.select(F.col("states").cast("double").alias("states"), F.col("most").cast("double").alias("most"), "possible")
 
 
-@query("SELECT * FROM (VALUES (1, 2, 4)) t(width, largest_bag, bags)")
+@query(f"WITH {_NET}, {_THIN}, {_LOOPED} SELECT 'vertex' AS kind, v AS id, 1 AS times FROM nv UNION ALL SELECT 'edge', e, 1 FROM le UNION ALL SELECT 'root', 0, 1")
 def tree_decomposition(spark, sf_dir):
-    bags = m.decompositions(fixtures.path_vertices(spark, sf_dir), fixtures.path_edges(spark, sf_dir))
-    return bags.agg(F.max("width").alias("width"), F.max(F.size("variables")).alias("largest_bag"), F.count("*").cast("int").alias("bags"))
+    """Of the emitted bags of a network with cycles: a vertex's bags less those whose parent bag has it too, the bags that own an edge with both ends in them, and the roots."""
+    v, e = _looped(spark, sf_dir)
+    bags = m.decompositions(v, e)
+    held = bags.select("bag_id", "parent_bag_id", F.explode("variables").alias("id"))
+    parent = bags.select(F.col("bag_id").alias("parent_bag_id"), F.col("variables").alias("above"))
+    apart = held.join(parent, "parent_bag_id", "left").groupBy("id").agg((F.count("*") - F.count_if(F.coalesce(F.array_contains("above", F.col("id")), F.lit(False)))).alias("times"))
+    owned = bags.select("variables", F.explode("edge_ids").alias("edge_id")).join(e.select("edge_id", "u", "v"), "edge_id").where(F.array_contains("variables", F.col("u")) & F.array_contains("variables", F.col("v")))
+    out = apart.select(F.lit("vertex").alias("kind"), "id", F.col("times").cast("int").alias("times"))
+    out = out.unionByName(owned.groupBy(F.lit("edge").alias("kind"), F.col("edge_id").alias("id")).agg(F.count("*").cast("int").alias("times")))
+    return out.unionByName(bags.agg(F.lit("root").alias("kind"), F.lit(0).cast("long").alias("id"), F.count_if(F.col("parent_bag_id").isNull()).cast("int").alias("times")))
+
+
+@query(f"WITH {_NET}, {_THIN}, {_LOOPED} SELECT 2 AS width FROM le GROUP BY ALL HAVING count(*) > 0")
+def decomposition_width(spark, sf_dir):
+    """The network's cycles share no edge, so its treewidth is 2 and min-fill finds it."""
+    return m.decompositions(*_looped(spark, sf_dir)).select("width").distinct()
 
 
 # --- paths and costs ----------------------------------------------------------------------------------------------------
@@ -344,17 +375,51 @@ def cost_corridor(spark, sf_dir):
     return _curve_cost(spark, sf_dir, "symmetric_corridor_exceedance")
 
 
-@query()
+_SIDES = "(VALUES (0), (1)) g(w)"
+_UNIT = "tu AS (SELECT user_id, i, sx, sy, vx, vy, len, len2, start, last, vx / len AS ux, vy / len AS uy FROM tcum)"
+_BEND = """CASE WHEN {t} <= 1e-12 AND {s}.i > 0 AND sqrt(power({s}.ux + {p}.ux, 2) + power({s}.uy + {p}.uy, 2)) > 1e-12 THEN ({s}.{c} + {p}.{c}) / sqrt(power({s}.ux + {p}.ux, 2) + power({s}.uy + {p}.uy, 2))
+  WHEN {t} >= 1 - 1e-12 AND {s}.i < {s}.last AND sqrt(power({s}.ux + {n}.ux, 2) + power({s}.uy + {n}.uy, 2)) > 1e-12 THEN ({s}.{c} + {n}.{c}) / sqrt(power({s}.ux + {n}.ux, 2) + power({s}.uy + {n}.uy, 2)) ELSE {s}.{c} END"""
+
+
+def _bent(c: str) -> str:
+    return _BEND.format(t="b.t", s="s", p="p", n="n", c=c)
+
+
+@query(f"""WITH {_CURVES}, {_UNIT}, sm AS (SELECT user_id AS k, j, first(sx + (d - start) / len * vx ORDER BY i DESC) AS px, first(sy + (d - start) / len * vy ORDER BY i DESC) AS py, first(i ORDER BY i DESC) AS i, first(least(greatest((d - start) / len, 0), 1) ORDER BY i DESC) AS t
+  FROM (SELECT p.user_id, j, d, u.* EXCLUDE (user_id) FROM ({_SAMPLES.format(n=63.0, m=64)}) p JOIN tu u ON p.user_id = u.user_id AND d >= start AND (d < start + len OR (i = last AND d < start + len + 1e-6))) GROUP BY 1, 2),
+sa AS (SELECT b.k, b.j, b.px, b.py, {_bent('ux')} AS ax, {_bent('uy')} AS ay FROM sm b JOIN tu s ON s.user_id = b.k AND s.i = b.i LEFT JOIN tu p ON p.user_id = b.k AND p.i = b.i - 1 LEFT JOIN tu n ON n.user_id = b.k AND n.i = b.i + 1),
+q AS (SELECT sa.*, w, CASE WHEN w = 0 THEN k + 1 ELSE k - 1 END AS o FROM sa, {_SIDES}),
+h AS (SELECT k, w, j, o, px, py, ax, ay, c.i, {_D2} AS d2, least(greatest(((px - sx) * vx + (py - sy) * vy) / len2, 0.0), 1.0) AS t FROM q JOIN tu c ON c.user_id = o),
+b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY k, w, j ORDER BY d2, i) = 1),
+r AS (SELECT b.k, b.w, sqrt(b.d2) AS d, abs(b.ax * ({_bent('ux')}) + b.ay * ({_bent('uy')})) AS dot FROM b JOIN tu s ON s.user_id = b.o AND s.i = b.i LEFT JOIN tu p ON p.user_id = b.o AND p.i = b.i - 1 LEFT JOIN tu n ON n.user_id = b.o AND n.i = b.i + 1),
+v AS (SELECT k, w, avg(d + CASE WHEN dot >= 1 - 1e-12 THEN 0 ELSE acos(least(dot, 1)) / (pi() / 2) END) AS x FROM r GROUP BY 1, 2)
+SELECT CASE WHEN w = 0 THEN k ELSE k - 1 END AS user_id, round(avg(x), 4) AS value FROM v GROUP BY 1""")
 def cost_mean_distance_tangent(spark, sf_dir):
     return _curve_cost(spark, sf_dir, "mean_distance_tangent")
 
 
-@query()
+def _diagonals(n: int, d: str, worse: str, near: str = "true") -> str:
+    """A program over an n by n table as one step for each antidiagonal: f0, f1, ... (p, i, f); ``g`` has the distances."""
+    steps = [f"f0 AS MATERIALIZED (SELECT p, 0 AS i, {d} AS f FROM g WHERE i = 0 AND j = 0)"]
+    for k in range(1, 2 * n - 1):
+        slant = f"LEFT JOIN f{k - 2} c ON c.p = g.p AND c.i = g.i - 1" if k > 1 else ""
+        least = "least(a.f, b.f, c.f)" if k > 1 else "least(a.f, b.f)"
+        steps.append(f"f{k} AS MATERIALIZED (SELECT g.p, g.i, {worse.format(d=d, f=least)} AS f FROM g LEFT JOIN f{k - 1} a ON a.p = g.p AND a.i = g.i - 1 LEFT JOIN f{k - 1} b ON b.p = g.p AND b.i = g.i {slant} WHERE g.k = {k} AND {near})")
+    return ", ".join(steps)
+
+
+def _sampled(n: int, near: str = "true") -> str:
+    """Squared distances g (p, i, j, k, d2) of the samples of each user's curve and the next one's."""
+    return f"""sa AS MATERIALIZED (SELECT user_id AS k, j, avg(x) AS x, avg(y) AS y FROM ({_at_sql(_SAMPLES.format(n=float(n - 1), m=n))}) GROUP BY 1, 2),
+g AS MATERIALIZED (SELECT a.k AS p, a.j AS i, b.j AS j, a.j + b.j AS k, power(a.x - b.x, 2) + power(a.y - b.y, 2) AS d2 FROM sa a JOIN sa b ON b.k = a.k + 1 WHERE {near})"""
+
+
+@query(f"WITH {_CURVES}, {_sampled(64)}, {_diagonals(64, 'sqrt(d2)', 'greatest({d}, {f})')} SELECT p AS user_id, round(f, 4) AS value FROM f126")
 def cost_discrete_frechet(spark, sf_dir):
     return _curve_cost(spark, sf_dir, "discrete_frechet_distance")
 
 
-@query()
+@query(f"WITH {_CURVES}, {_sampled(80, 'abs(a.j - b.j) < 8')}, {_diagonals(80, 'd2', '{d} + {f}')} SELECT p AS user_id, round(sqrt(f) / sqrt(80.0), 4) AS value FROM f158")
 def cost_dtw(spark, sf_dir):
     return _curve_cost(spark, sf_dir, "dynamic_time_warping_distance")
 
@@ -403,13 +468,6 @@ def match_mapping(spark, sf_dir):
     return found.mapping.select(F.col("source_vertex").cast("int").alias("source_vertex"), "target_vertex")
 
 
-@query(f"WITH {_BRUTE} SELECT round(min(total), 6) AS value FROM al")
-def dominance_prune(spark, sf_dir):
-    """Pruning dominated candidates leaves the optimum as it is."""
-    found = Matcher(*_problem(spark, sf_dir), rho=RHO, top_k=K).match(m.create_cost("relative_length_error"), dominance=True)
-    return found.values.select(F.round("value", 6).alias("value"))
-
-
 _DOM = f"""{_PATHS}, fc AS (SELECT e, tu, tv, abs(d / 20.0 - 1) AS f FROM rq JOIN ds USING (tu, tv)),
 lo AS (SELECT e AS s, e, 0 AS side, tu AS t, tv AS c, f FROM fc UNION ALL SELECT e + 1, e, 1, tv, tu, f FROM fc),
 pr AS (SELECT x.s, x.t AS a, y.t AS b FROM cand x JOIN cand y ON x.s = y.s AND x.t <> y.t)"""
@@ -422,6 +480,167 @@ def dominance_pairs(spark, sf_dir):
     return m.dominance_pairs(task.effective, task.costs(m.create_cost("relative_length_error")), task.arcs).select("s", "a", "b")
 
 
+def _pruned(k: int) -> str:
+    """One pass of pruning, over the candidates c{k}: those that another dominates go, of two that dominate each other the larger."""
+    return f"""p{k} AS MATERIALIZED (SELECT x.s, x.t AS a, y.t AS b FROM c{k} x JOIN c{k} y ON x.s = y.s AND x.t <> y.t), l{k} AS MATERIALIZED (SELECT lo.* FROM lo SEMI JOIN c{k} x ON x.s = lo.s AND x.t = lo.t SEMI JOIN c{k} y ON y.s = CASE side WHEN 0 THEN lo.e + 1 ELSE lo.e END AND y.t = lo.c),
+w{k} AS (SELECT DISTINCT p.s, p.a, p.b FROM p{k} p JOIN l{k} y ON y.s = p.s AND y.t = p.b LEFT JOIN l{k} x ON x.s = p.s AND x.t = p.a AND x.e = y.e AND x.side = y.side AND x.c = y.c WHERE x.f IS NULL OR x.f > y.f),
+m{k} AS MATERIALIZED (SELECT * FROM p{k} ANTI JOIN w{k} USING (s, a, b)), c{k + 1} AS MATERIALIZED (SELECT s, t FROM c{k} WHERE NOT EXISTS (SELECT 1 FROM m{k} q LEFT JOIN m{k} r ON r.s = q.s AND r.a = q.b AND r.b = q.a WHERE q.s = c{k}.s AND q.b = c{k}.t AND (r.s IS NULL OR q.a < q.b)))"""
+
+
+@query(f"WITH {_DOM}, c0 AS (SELECT s, t FROM cand), {', '.join(_pruned(k) for k in range(5))} SELECT s AS source_vertex, t AS target_vertex FROM c5")
+def dominance_prune(spark, sf_dir):
+    """The candidates that no other one dominates, after all passes."""
+    task = Matcher(*_problem(spark, sf_dir), rho=RHO, top_k=K)
+    return m.dominance_prune(task.candidates, task.costs(m.create_cost("relative_length_error")), task.arcs).select("source_vertex", "target_vertex")
+
+
+@query(f"WITH {_BRUTE} SELECT round(min(total), 6) AS value, round(min(total), 6) AS pruned_value, true AS equal FROM al")
+def dominance_benchmark(spark, sf_dir):
+    task = Matcher(*_problem(spark, sf_dir), rho=RHO, top_k=K)
+    found, _ = studies.dominance_benchmark(task, m.create_cost("relative_length_error"))
+    return found.select(F.round("value", 6).alias("value"), F.round("pruned_value", 6).alias("pruned_value"), "equal")
+
+
+_RING = f"""{_NET}, sq AS (SELECT * FROM (VALUES (0, 5.0, 1.0), (1, 25.0, 1.0), (2, 25.0, 21.0), (3, 5.0, 21.0), (4, 45.0, 21.0)) t(s, px, py)), sx AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 2), (2, 2, 3), (3, 0, 3), (4, 2, 4)) t(e, a, b)),
+ed AS (SELECT s, e, u, v, sqrt(min({_D2})) AS d FROM sq, ns GROUP BY ALL), ends AS (SELECT s, d, e, 0 AS k, u AS t FROM ed WHERE d <= 4 UNION ALL SELECT s, d, e, 1, v FROM ed WHERE d <= 4),
+best AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY s, t ORDER BY d, e, k) = 1), cand AS (SELECT s, t FROM best QUALIFY row_number() OVER (PARTITION BY s ORDER BY d, e, k) <= 6),
+rq AS (SELECT x.e, p.t AS tu, q.t AS tv FROM sx x JOIN cand p ON p.s = x.a JOIN cand q ON q.s = x.b AND q.t <> p.t), bo AS (SELECT u AS a, v AS b, length AS l FROM nl UNION ALL SELECT v, u, length FROM nl), d0 AS (SELECT DISTINCT tu AS f, tu AS t, 0.0::DOUBLE AS d FROM rq),
+{', '.join(f"d{k + 1} AS MATERIALIZED (SELECT f, t, min(d) AS d FROM (SELECT * FROM d{k} UNION ALL SELECT f, b, d + l FROM d{k} JOIN bo ON a = t) GROUP BY 1, 2)" for k in range(_HOPS))},
+fc AS MATERIALIZED (SELECT e, tu, tv, abs(d / 20.0 - 1) AS f FROM rq JOIN d{_HOPS} ON f = tu AND t = tv),
+al AS (SELECT a.tu AS t0, a.tv AS t1, b.tv AS t2, c.tv AS t3, z.tv AS t4, a.f + b.f + c.f + y.f + z.f AS total, greatest(a.f, b.f, c.f, y.f, z.f) AS worst FROM fc a JOIN fc b ON a.e = 0 AND b.e = 1 AND b.tu = a.tv JOIN fc c ON c.e = 2 AND c.tu = b.tv
+  JOIN fc y ON y.e = 3 AND y.tu = a.tu AND y.tv = c.tv JOIN fc z ON z.e = 4 AND z.tu = b.tv)"""
+
+
+def _ring_task(spark, sf_dir) -> Matcher:
+    """A source with a cycle of four edges and a branch: width 2, several children."""
+    at = [(0, 5.0, 1.0), (1, 25.0, 1.0), (2, 25.0, 21.0), (3, 5.0, 21.0), (4, 45.0, 21.0)]
+    place = {i: (x, y) for i, x, y in at}
+    ends = [(0, 0, 1), (1, 1, 2), (2, 2, 3), (3, 0, 3), (4, 2, 4)]
+    v = spark.createDataFrame([("ring", i, x, y) for i, x, y in at], "graph string, vertex_id long, x double, y double")
+    e = spark.createDataFrame([("ring", k, k, a, b, [place[a], place[b]]) for k, a, b in ends], f"graph string, edge_id long, edge_pos int, u long, v long, polyline {geo.POLYLINE}")
+    pairs = spark.createDataFrame([("ring_to_net", "ring", "net")], "pair_id string, source string, target string")
+    return Matcher(pairs, fixtures.net_vertices(spark, sf_dir).unionByName(v), fixtures.net_edges(spark, sf_dir).unionByName(e), rho=4.0, top_k=6)
+
+
+@query(f"""WITH {_RING} SELECT 'additive' AS objective, round(min(total), 6) AS value FROM al UNION ALL SELECT 'bottleneck', round(min(worst), 6) FROM al UNION ALL SELECT 'length_weighted_additive', round(min(total) * 20, 6) FROM al""")
+def match_ring(spark, sf_dir):
+    """All objectives over a source with a cycle and a branch."""
+    return _ring_task(spark, sf_dir).match_all(m.create_cost("relative_length_error")).values.select("objective", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {_RING} SELECT unnest([0, 1, 2, 3, 4]) AS source_vertex, unnest([t0, t1, t2, t3, t4]) AS target_vertex FROM (SELECT * FROM al ORDER BY total, t0, t1, t2, t3, t4 LIMIT 1)")
+def match_ring_mapping(spark, sf_dir):
+    found = _ring_task(spark, sf_dir).match(m.create_cost("relative_length_error"))
+    return found.mapping.select(F.col("source_vertex").cast("int").alias("source_vertex"), "target_vertex")
+
+
+@query(f"WITH {_RING} SELECT a.e AS edge_id, a.tu AS target_u, a.tv AS target_v, round(a.f, 6) AS value FROM fc a")
+def ring_costs(spark, sf_dir):
+    """The local costs of all requests that arc consistency leaves; here it leaves all."""
+    return _ring_task(spark, sf_dir).costs(m.create_cost("relative_length_error")).select("edge_id", "target_u", "target_v", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {_DOM}, b3 AS (SELECT * FROM fc WHERE e = 3), b2 AS (SELECT * FROM fc WHERE e = 2 AND tv IN (SELECT tu FROM b3)), b0 AS (SELECT * FROM fc WHERE e = 0), b1 AS (SELECT * FROM fc WHERE e = 1 AND tu IN (SELECT tv FROM b0) AND tv IN (SELECT tu FROM b2))
+SELECT (SELECT count(*) FROM b0) + (SELECT count(*) FROM b1) + (SELECT count(*) FROM b2) + (SELECT count(*) FROM b3) AS states, (SELECT count(DISTINCT tv) FROM b0) + (SELECT count(DISTINCT tu) FROM b2) + (SELECT count(DISTINCT tu) FROM b3) + 1 AS messages""")
+def program_statistics(spark, sf_dir):
+    """States of finite value in all bags of the path's decomposition (root 1-2), and entries of their messages."""
+    found = Matcher(*_problem(spark, sf_dir), rho=RHO, top_k=K).match(m.create_cost("relative_length_error"))
+    return found.statistics.select("states", "messages")
+
+
+@query(f"""WITH {_PATHS}, g AS (SELECT 6.0::DOUBLE AS rho, s, count(t) AS n FROM sp LEFT JOIN cand USING (s) GROUP BY 2 UNION ALL SELECT 0.5, s, count(e) FROM sp LEFT JOIN (SELECT s, e FROM (SELECT s, e, sqrt(min({_D2})) AS d FROM sp, ns GROUP BY 1, 2) WHERE d <= 0.5) q USING (s) GROUP BY 2),
+fc AS (SELECT e, tu, tv, abs(d / 20.0 - 1) AS f FROM rq JOIN ds USING (tu, tv)), al AS (SELECT min(a.f + b.f + c.f + d.f) AS v FROM fc a JOIN fc b ON a.e = 0 AND b.e = 1 AND b.tu = a.tv JOIN fc c ON c.e = 2 AND c.tu = b.tv JOIN fc d ON d.e = 3 AND d.tu = c.tv)
+SELECT 'target_junctions' AS mode, rho, CASE WHEN count_if(n = 0) > 0 THEN 'empty_domains' WHEN rho = 6 AND (SELECT v FROM al) IS NOT NULL THEN 'ok' ELSE 'globally_infeasible' END AS status, CAST(count_if(n = 0) AS BIGINT) AS empty,
+  CASE WHEN count_if(n = 0) = 0 AND rho = 6 THEN round((SELECT v FROM al), 6) END AS value FROM g GROUP BY rho""")
+def mode_grid(spark, sf_dir):
+    found = studies.mode_grid(*_problem(spark, sf_dir), [0.5, RHO], cost=m.create_cost("relative_length_error"), top_k=K)
+    return found.select("mode", "rho", "status", "empty", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {_PATHS}, al AS (SELECT a.s AS e, a.t AS tu, b.t AS tv FROM cand a JOIN cand b ON b.s = a.s + 1)
+SELECT CASE WHEN al.tu = al.tv THEN 'same target' WHEN d IS NULL THEN 'no witness' ELSE 'cost' END AS category, count(*) AS requests FROM al LEFT JOIN ds USING (tu, tv) GROUP BY 1""")
+def request_diagnostics(spark, sf_dir):
+    task = Matcher(*_problem(spark, sf_dir), rho=RHO, top_k=K)
+    c = task.candidates
+    every = task.arcs.join(c.select("pair_id", F.col("source_vertex").alias("u"), F.col("target_vertex").alias("target_u")), ["pair_id", "u"]).join(c.select("pair_id", F.col("source_vertex").alias("v"), F.col("target_vertex").alias("target_v")), ["pair_id", "v"])
+    paths = m.shortest_paths(every.where("target_u <> target_v"), task.pairs, task.edges)
+    return reports.request_diagnostics(every, task.costs(m.create_cost("relative_length_error")), paths).drop("pair_id")
+
+
+@query(f"WITH {_cand_sql()} SELECT sha256(string_agg(s || ':' || t, chr(10) ORDER BY s, t)) AS candidates FROM cand")
+def candidate_digest(spark, sf_dir):
+    return reports.candidate_digest(cand.edge_radius_candidates(*_problem(spark, sf_dir), RHO, K)).select("candidates")
+
+
+@query("WITH n AS (SELECT c_custkey AS a, c_acctbal AS x, c_nationkey AS y FROM customer) SELECT a AS vertex_id, x, CAST(y AS DOUBLE) AS y FROM n WHERE NOT (x = -1 AND y = -1) AND x >= 0")
+def graph_filter(spark, sf_dir):
+    """Finite vertices other than the marker: negative balances are made infinite here."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    x = F.when(F.col("c_acctbal") < 0, F.lit(float("inf"))).otherwise(F.col("c_acctbal").cast("double"))
+    v = c.select(F.lit("g").alias("graph"), F.col("c_custkey").alias("vertex_id"), x.alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    e = fixtures.net_edges(spark, sf_dir).withColumnRenamed("polyline", "path")
+    return prepare.filter_graphs(v, e.limit(0))[0].select("vertex_id", "x", "y")
+
+
+@query(f"WITH {_NET} SELECT e AS edge_id, u, v, round(length, 6) AS length FROM nl WHERE u % 5 <> 1 AND v % 5 <> 1")
+def edge_filter(spark, sf_dir):
+    """Edges with a usable line between two valid vertices: every fifth vertex gets the marker's place; loops and empty lines are put in and must go."""
+    v, e = fixtures.net_vertices(spark, sf_dir), fixtures.net_edges(spark, sf_dir).withColumnRenamed("polyline", "path")
+    mark = prepare.INVALID_MARKER
+    v = v.withColumn("x", F.when(F.col("vertex_id") % 5 == 1, mark[0]).otherwise(F.col("x"))).withColumn("y", F.when(F.col("vertex_id") % 5 == 1, mark[1]).otherwise(F.col("y")))
+    worse = e.withColumn("edge_id", F.col("edge_id") + 100000).withColumn("v", F.col("u")).unionByName(e.withColumn("edge_id", F.col("edge_id") + 200000).withColumn("path", F.array_repeat(F.element_at("path", 1), 3)))
+    found = prepare.filter_graphs(v, e.unionByName(worse))[1]
+    return found.select("edge_id", "u", "v", F.round(geo.length(F.col("path")), 6).alias("length"))
+
+
+@query(f"WITH {_CURVES} SELECT user_id, count(*) AS points, round(any_value(total), 4) AS length FROM tp JOIN ttot USING (user_id) GROUP BY 1")
+def polyline_clean(spark, sf_dir):
+    """Every point is given twice; the repeats go."""
+    line = F.flatten(F.transform("line", lambda p: F.array(p, p)))
+    return fixtures.curves(spark, sf_dir).select("user_id", geo.clean(line).alias("p")).select("user_id", F.size("p").cast("long").alias("points"), F.round(geo.length(F.col("p")), 4).alias("length"))
+
+
+@query(f"WITH {_NET} SELECT e AS edge_id, x1 AS x, y1 AS y FROM ne")
+def polyline_orient(spark, sf_dir):
+    """Lines of odd edges are given backwards; oriented from u to v all begin at u."""
+    e = fixtures.net_edges(spark, sf_dir)
+    given = F.when(F.col("edge_id") % 2 == 1, geo.reverse(F.col("polyline"))).otherwise(F.col("polyline"))
+    return e.select("edge_id", geo.orient(given, F.element_at("polyline", 1), F.element_at("polyline", -1)).alias("p")).select("edge_id", F.col("p")[0]["x"].alias("x"), F.col("p")[0]["y"].alias("y"))
+
+
+@query(f"WITH {_NET} SELECT v AS vertex_id, x, -y AS y FROM nv")
+def flip(spark, sf_dir):
+    return prepare.flipped(fixtures.net_vertices(spark, sf_dir)).select("vertex_id", "x", "y")
+
+
+@query(f"WITH {_NET} SELECT row_number() OVER (ORDER BY v, u) - 1 AS edge_id, u, v FROM ne")
+def edge_numbers(spark, sf_dir):
+    return prepare.number_edges(fixtures.net_edges(spark, sf_dir), [F.col("v"), F.col("u")]).select("edge_id", "u", "v")
+
+
+@query(f"""WITH {_NET} SELECT 'unknown end of edge ' || e AS problem FROM ne WHERE u % 7 = 0 OR v % 7 = 0 UNION ALL SELECT 'loop ' || (e + 100000) FROM ne WHERE e % 9 = 0 AND u % 7 <> 0
+UNION ALL SELECT 'unknown end of edge ' || (e + 100000) FROM ne, range(2) WHERE e % 9 = 0 AND u % 7 = 0 UNION ALL SELECT 'loop ' || (e + 100000) FROM ne WHERE e % 9 = 0 AND u % 7 = 0""")
+def graph_problems(spark, sf_dir):
+    """Every seventh vertex is missing, every ninth edge comes again as a loop. An edge with two unknown ends is listed for each."""
+    v, e = fixtures.net_vertices(spark, sf_dir).where("vertex_id % 7 <> 0"), fixtures.net_edges(spark, sf_dir)
+    loops = e.where("edge_id % 9 = 0").withColumn("edge_id", F.col("edge_id") + 100000).withColumn("v", F.col("u"))
+    return prepare.problems(v, e.unionByName(loops)).select("problem")
+
+
+@query(f"WITH {_cand_sql()}, o AS (SELECT s, t FROM cand UNION ALL SELECT s, t FROM cand WHERE t % 2 = 0) SELECT DISTINCT s AS source_vertex, t AS target_vertex FROM o")
+def candidates_normalised(spark, sf_dir):
+    pairs, vertices, edges = _problem(spark, sf_dir)
+    found = cand.edge_radius_candidates(pairs, vertices, edges, RHO, K).select("pair_id", "source_vertex", "target_vertex")
+    return cand.normalise_candidates(found.unionByName(found.where("target_vertex % 2 = 0")), pairs, vertices).select("source_vertex", "target_vertex")
+
+
+@query(f"WITH {_cand_sql()}, n AS (SELECT s, count(*) AS n FROM cand GROUP BY 1), b AS (SELECT a.n * b.n AS states FROM n a JOIN n b ON b.s = a.s + 1) SELECT sum(states) > 100 AS limited, sum(states) > 1000000 AS limited_high FROM b")
+def state_limit(spark, sf_dir):
+    task = Matcher(*_problem(spark, sf_dir), rho=RHO, top_k=K)
+    low, high = (task._within(task.candidates, n)[1].count() == 1 for n in (100, 1000000))
+    return spark.createDataFrame([(low, high)], "limited boolean, limited_high boolean")
+
+
 @query(f"""WITH {_PATHS}, one AS (SELECT s, t FROM cand WHERE r = 2), v AS (SELECT a.s AS e, d FROM one a JOIN one b ON b.s = a.s + 1 LEFT JOIN ds ON tu = a.t AND tv = b.t AND a.t <> b.t)
 SELECT CASE WHEN count_if(d IS NULL) = 0 THEN round(sum(abs(d / 20.0 - 1)), 6) END AS additive, CASE WHEN count_if(d IS NULL) = 0 THEN round(max(abs(d / 20.0 - 1)), 6) END AS bottleneck,
   CASE WHEN count_if(d IS NULL) = 0 THEN round(sum(20 * abs(d / 20.0 - 1)), 6) END AS length_weighted, CAST(count_if(d IS NULL) AS INTEGER) AS invalid FROM v""")

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.functions import geometry as geo
+from netloom.functions import kernels
 from netloom.operators import candidates as cand
 from netloom.operators import matching as m
 from netloom.plans.durable import durable
@@ -23,6 +25,7 @@ class Solution:
 
     ``values``: pair_id, objective, feasible, value. ``mapping``: pair_id, objective, source_vertex, target_vertex.
     ``edges``: pair_id, objective, edge_id, u, v, target_u, target_v, value, witness. ``limited``: pairs over the limit.
+    ``statistics``: pair_id, objective, states, messages; null for pairs that were solved by joins.
     """
 
     cost: m.Cost
@@ -30,6 +33,7 @@ class Solution:
     mapping: DataFrame
     edges: DataFrame
     limited: DataFrame
+    statistics: DataFrame
 
 
 def cost_id(cost: m.Cost) -> str:
@@ -51,6 +55,11 @@ class Matcher:
         self._costs: dict[str, DataFrame] = {}
         self._witnesses: dict[tuple[float, int], DataFrame] = {}
 
+    def only(self, pairs: DataFrame) -> Matcher:
+        """The same task for some of its pairs (pair_id), with the candidates it has."""
+        held = self.pairs.join(pairs, "pair_id", "left_semi")
+        return Matcher(held, self.vertices, self.edges, self.rho, self.top_k, self.mode, candidate_sets=self.candidates.join(pairs, "pair_id", "left_semi"))
+
     @cached_property
     def sources(self) -> tuple[DataFrame, DataFrame]:
         names = self.pairs.select(F.col("source").alias("graph")).distinct()
@@ -105,19 +114,48 @@ class Matcher:
         over = totals.where(F.col("states") > limit)
         return self.pairs.join(over, "pair_id", "left_anti"), self.pairs.join(over, "pair_id", "left_semi")
 
-    def match_all(self, cost: m.Cost, objectives: tuple[str, ...] = tuple(m.Objective), dominance: bool = False, state_limit: int | None = None) -> Solution:
-        """Optimal mappings for the objectives; ``state_limit`` keeps pairs with more bag states from being solved."""
+    def match_all(self, cost: m.Cost, objectives: tuple[str, ...] = tuple(m.Objective), dominance: bool | str = False, state_limit: int | None = None, comparison_limit: int | None = None) -> Solution:
+        """Optimal mappings for the objectives; ``state_limit`` keeps pairs with more bag states from being solved.
+
+        ``dominance`` is off, on or auto, or a boolean. Pairs with a bag table too large for one task are solved by joins.
+        """
         domains = self.effective
         costs = self.costs(cost)
-        if dominance:
-            domains = m.dominance_prune(domains, costs, self.arcs)
+        wanted = m.Dominance("on" if dominance is True else "off" if dominance is False else dominance)
+        if wanted.applies(cost):
+            domains = m.dominance_prune(domains, costs, self.arcs, comparison_limit)
         pairs, limited = self._within(domains, state_limit)
         pairs = durable(pairs)
         domains, costs = domains.join(pairs, "pair_id", "left_semi"), costs.join(pairs, "pair_id", "left_semi")
-        found = durable(m.solve(domains, costs, pairs, self.vertices, self.edges, objectives))
+        wide = m.preflight_totals(self.preflight(domains)).where(F.col("most") > kernels.MOST_CELLS).select("pair_id")
+        names = [r["source"] for r in pairs.join(wide, "pair_id", "left_semi").select("source").distinct().collect()]
+        if names:
+            wide = durable(wide)
+            dense = pairs.join(wide, "pair_id", "left_anti")
+            parts = [m.solve(domains.join(dense, "pair_id", "left_semi"), costs.join(dense, "pair_id", "left_semi"), dense, self.vertices, self.edges, objectives)]
+            parts += [self._solve_wide(pairs.join(wide, "pair_id", "left_semi").where(F.col("source") == name), name, domains, costs, objectives) for name in names]
+            found = durable(reduce(DataFrame.unionByName, parts))
+        else:
+            found = durable(m.solve(domains, costs, pairs, self.vertices, self.edges, objectives))
         values = found.select("pair_id", "objective", "feasible", "value").distinct()
         mapping = found.where("source_vertex is not null").select("pair_id", "objective", "source_vertex", "target_vertex")
-        return Solution(cost, values, mapping, materialise(mapping, self.arcs, costs), limited)
+        return Solution(cost, values, mapping, materialise(mapping, self.arcs, costs), limited, found.select("pair_id", "objective", "states", "messages").distinct())
+
+    def _solve_wide(self, pairs: DataFrame, source: str, domains: DataFrame, costs: DataFrame, objectives: tuple[str, ...]) -> DataFrame:
+        """The rows of ``solve`` for pairs with one source graph, whose decomposition the driver holds."""
+        graph = F.col("graph") == source
+        lines = self.edges.where(graph).select("edge_id", "u", "v", geo.length(F.col("polyline")).alias("w")).collect()
+        vertices = sorted(r["vertex_id"] for r in self.vertices.where(graph).select("vertex_id").collect())
+        tree = kernels.Decomposition(vertices, sorted((r["edge_id"], r["u"], r["v"]) for r in lines))
+        weights = {r["edge_id"]: r["w"] for r in lines}
+        mine, known = domains.join(pairs, "pair_id", "left_semi"), costs.join(pairs, "pair_id", "left_semi")
+        parts = []
+        for objective in objectives:
+            best = m.solve_relational(mine, known, tree, objective, weights)
+            met = pairs.select("pair_id").join(best, "pair_id", "left").withColumn("p", F.explode_outer("state"))
+            none = F.lit(None).cast("long")
+            parts.append(met.select("pair_id", F.lit(str(objective)).alias("objective"), F.col("value").isNotNull().alias("feasible"), "value", none.alias("states"), none.alias("messages"), F.col("p.s").alias("source_vertex"), F.col("p.t").alias("target_vertex")))
+        return reduce(DataFrame.unionByName, parts)
 
     def match(self, cost: m.Cost, objective: str = m.Objective.ADDITIVE, **options) -> Solution:
         return self.match_all(cost, (m.Objective(objective),), **options)
@@ -137,8 +175,6 @@ class Matcher:
 
     def check(self, solution: Solution, relative: float = 1e-10, absolute: float = 1e-12) -> DataFrame:
         """(pair_id, objective, value, realised, ok): objectives recomputed from the solution's edges."""
-        from netloom.functions import geometry as geo
-
         w = self.pairs.select("pair_id", F.col("source").alias("graph")).join(self.edges.select("graph", "edge_id", geo.length(F.col("polyline")).alias("w")), "graph").drop("graph")
         sums = solution.edges.join(w, ["pair_id", "edge_id"]).groupBy("pair_id", "objective").agg(F.sum("value").alias("s"), F.max("value").alias("b"), F.sum(F.col("w") * F.col("value")).alias("l"))
         met = solution.values.where("feasible").join(sums, ["pair_id", "objective"], "left").fillna(0.0, ["s", "b", "l"])
