@@ -417,7 +417,11 @@ OBJECTIVES = ("additive", "bottleneck", "length_weighted_additive")
 MOST_CELLS = 100_000_000
 
 
-def solve_bags(tree: Decomposition, domains: dict[int, np.ndarray], costs: dict[int, np.ndarray], weights: dict[int, float], objective: str, counts: list[tuple[int, int]] | None = None) -> tuple[float, dict[int, int]] | None:
+class TooLarge(ValueError):
+    """A bag's table would have more cells than allowed."""
+
+
+def solve_bags(tree: Decomposition, domains: dict[int, np.ndarray], costs: dict[int, np.ndarray], weights: dict[int, float], objective: str, counts: list[tuple[int, int]] | None = None, most_cells: int = MOST_CELLS) -> tuple[float, dict[int, int]] | None:
     """The least objective and a mapping that has it, or None if there is none.
 
     ``counts`` is given, for each bag done, its states of finite value and its message's entries of finite value.
@@ -430,8 +434,8 @@ def solve_bags(tree: Decomposition, domains: dict[int, np.ndarray], costs: dict[
     choices: list[np.ndarray] = []
     for k, bag in enumerate(tree.bags):
         shape = tuple(len(domains[v]) for v in bag)
-        if math.prod(shape) > MOST_CELLS:
-            raise ValueError(f"a bag has {math.prod(shape)} states; prune first or set a state limit")
+        if math.prod(shape) > most_cells:
+            raise TooLarge(f"a bag has {math.prod(shape)} states; prune first, set a state limit, or solve by joins")
         axis = {v: i for i, v in enumerate(bag)}
 
         def spread(table: np.ndarray, variables: tuple[int, ...]) -> np.ndarray:

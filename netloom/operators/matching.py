@@ -445,12 +445,13 @@ def largest_bags(found: DataFrame, n: int = 10) -> DataFrame:
 # --- dynamic programming --------------------------------------------------------------------------------------------
 
 
-def solve(candidates: DataFrame, costs: DataFrame, pairs: DataFrame, vertices: DataFrame, edges: DataFrame, objectives: tuple[str, ...] = tuple(Objective)) -> DataFrame:
+def solve(candidates: DataFrame, costs: DataFrame, pairs: DataFrame, vertices: DataFrame, edges: DataFrame, objectives: tuple[str, ...] = tuple(Objective), most_cells: int = kernels.MOST_CELLS) -> DataFrame:
     """(pair_id, objective, feasible, value, states, messages, source_vertex, target_vertex): optimal mappings of many pairs, one group each.
 
     ``states`` are the bag states of finite value that the program met, ``messages`` the entries that bags hand on.
 
-    An infeasible objective has one row without value and vertices. Bag tables are dense arrays, so the least value and
+    An infeasible objective has one row without value and vertices. A pair with a bag of more than ``most_cells`` states has
+    one row whose ``feasible`` is null: it is left to ``solve_relational``. Bag tables are dense arrays, so the least value and
     its lexicographically smallest state come from array reductions.
     """
     lengths = edges.select(F.col("graph").alias("source"), "edge_id", "u", "v", geo.length(F.col("polyline")).alias("w"))
@@ -487,7 +488,12 @@ def solve(candidates: DataFrame, costs: DataFrame, pairs: DataFrame, vertices: D
             tables[k] = table
         for objective in objectives:
             counts: list[tuple[int, int]] = []
-            found = kernels.solve_bags(tree, domains, tables, weights, str(objective), counts) if all(len(x) for x in domains.values()) else None
+            try:
+                found = kernels.solve_bags(tree, domains, tables, weights, str(objective), counts, most_cells) if all(len(x) for x in domains.values()) else None
+            except kernels.TooLarge:
+                for col, x in zip(out, (pair, str(objective), None, None, None, None, None, None), strict=True):
+                    out[col].append(x)
+                continue
             states, entries = (sum(x) for x in zip(*counts, strict=True)) if counts else (0, 0)
             for s, t in found[1].items() if found else [(None, None)]:
                 for col, x in zip(out, (pair, str(objective), found is not None, found[0] if found else None, states, entries, s, t), strict=True):

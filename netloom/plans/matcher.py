@@ -114,7 +114,7 @@ class Matcher:
         over = totals.where(F.col("states") > limit)
         return self.pairs.join(over, "pair_id", "left_anti"), self.pairs.join(over, "pair_id", "left_semi")
 
-    def match_all(self, cost: m.Cost, objectives: tuple[str, ...] = tuple(m.Objective), dominance: bool | str = False, state_limit: int | None = None, comparison_limit: int | None = None) -> Solution:
+    def match_all(self, cost: m.Cost, objectives: tuple[str, ...] = tuple(m.Objective), dominance: bool | str = False, state_limit: int | None = None, comparison_limit: int | None = None, most_cells: int = kernels.MOST_CELLS) -> Solution:
         """Optimal mappings for the objectives; ``state_limit`` keeps pairs with more bag states from being solved.
 
         ``dominance`` is off, on or auto, or a boolean. Pairs with a bag table too large for one task are solved by joins.
@@ -127,16 +127,13 @@ class Matcher:
         pairs, limited = self._within(domains, state_limit)
         pairs = durable(pairs)
         domains, costs = domains.join(pairs, "pair_id", "left_semi"), costs.join(pairs, "pair_id", "left_semi")
-        wide = m.preflight_totals(self.preflight(domains)).where(F.col("most") > kernels.MOST_CELLS).select("pair_id")
-        names = [r["source"] for r in pairs.join(wide, "pair_id", "left_semi").select("source").distinct().collect()]
+        found = durable(m.solve(domains, costs, pairs, self.vertices, self.edges, objectives, most_cells))
+        wide = found.where("feasible is null").select("pair_id").distinct()
+        names = [r["source"] for r in wide.join(pairs, "pair_id").select("source").distinct().collect()]
         if names:
-            wide = durable(wide)
-            dense = pairs.join(wide, "pair_id", "left_anti")
-            parts = [m.solve(domains.join(dense, "pair_id", "left_semi"), costs.join(dense, "pair_id", "left_semi"), dense, self.vertices, self.edges, objectives)]
-            parts += [self._solve_wide(pairs.join(wide, "pair_id", "left_semi").where(F.col("source") == name), name, domains, costs, objectives) for name in names]
-            found = durable(reduce(DataFrame.unionByName, parts))
-        else:
-            found = durable(m.solve(domains, costs, pairs, self.vertices, self.edges, objectives))
+            wide = durable(pairs.join(wide, "pair_id", "left_semi"))
+            parts = [self._solve_wide(wide.where(F.col("source") == name), name, domains, costs, objectives) for name in names]
+            found = durable(reduce(DataFrame.unionByName, parts, found.join(wide.select("pair_id"), "pair_id", "left_anti")))
         values = found.select("pair_id", "objective", "feasible", "value").distinct()
         mapping = found.where("source_vertex is not null").select("pair_id", "objective", "source_vertex", "target_vertex")
         return Solution(cost, values, mapping, materialise(mapping, self.arcs, costs), limited, found.select("pair_id", "objective", "states", "messages").distinct())
