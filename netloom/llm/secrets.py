@@ -183,11 +183,12 @@ def _blocks(items: Column) -> Column:
     return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.slice(F.array(items), 1, 0))
 
 
-def _folded(items: Column, start: Column, merge, step, out_type: str, out) -> Column:
+def _folded(items: Column, start: Column, merge, step, out_type: str, out, context=None) -> Column:
     """What a fold with ``step`` over a long list gives out, in blocks.
 
     A state is a number; ``merge`` gives that behind a whole block from that before it, ``step`` that behind one item,
-    and ``out`` the list of what the item gives, from the state before it.
+    and ``out`` the list of what the item gives, from the state before it. With ``context`` (state before the block,
+    block), which is computed once a block, ``out`` gets its value and the state before the block too.
     """
 
     def before(blocks: Column) -> Column:
@@ -196,7 +197,11 @@ def _folded(items: Column, start: Column, merge, step, out_type: str, out) -> Co
 
     def within(z: Column) -> Column:
         first = F.struct(z["at"].alias("at"), F.expr(f"cast(array() as {out_type})").alias("out"))
-        return F.aggregate(z["block"], first, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], out(acc["at"], x)).alias("out")), lambda acc: acc["out"])
+
+        def gathered(*more: Column) -> Column:
+            return F.aggregate(z["block"], first, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], out(acc["at"], x, *more)).alias("out")), lambda acc: acc["out"])
+
+        return gathered() if context is None else _let(context(z["at"], z["block"]), lambda c: gathered(c, z["at"]))
 
     return _let(_blocks(items), lambda blocks: F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), before(blocks).alias("at")), within)))
 
@@ -281,7 +286,9 @@ def redact(docs: DataFrame, text_col: str = "text", sent_rows: int = SENT_ROWS)
         lambda at, block: F.greatest(at, F.array_max(F.transform(block, lambda s: s["stop"]))),
         lambda at, s: F.greatest(at, s["stop"]),
         "array<string>",
-        lambda at, s: F.when(s["start"] >= at, F.array(F.substring(text, (at + 1).cast("int"), (s["start"] - at).cast("int")))).otherwise(F.expr("cast(array() as array<string>)")),
+        lambda at, s, part, first: F.when(s["start"] >= at, F.array(F.substring(part, (at - first + 1).cast("int"), (s["start"] - at).cast("int")))).otherwise(F.expr("cast(array() as array<string>)")),
+        # the text that a block's pieces lie in: to find a place, all text before it is gone through
+        lambda at, block: F.substring(text, (at + 1).cast("int"), F.greatest(F.lit(0), F.element_at(block, -1)["start"] - at).cast("int")),
     )
     masked = F.when(F.size(F.col(name)) > 0, F.array_join(pieces, MASK)).otherwise(text)
     return found.select(*[masked.alias(text_col) if c == text_col else col(c) for c in docs.columns])

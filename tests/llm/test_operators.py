@@ -101,6 +101,22 @@ def test_language_id(spark):
     assert kept.columns == df.columns and kept.count() == df.count() - 2
 
 
+def test_prediction_is_the_largest_cosine(spark):
+    rng = random.Random(21)
+    prototypes = {lang: langid.unit(sum(brute_bundle("".join(rng.choice(letters) for _ in range(200))) for _ in range(3))).astype(np.float32) for lang, letters in (("aa", "abcd  "), ("bb", "dexyz  "), ("cc", "éßñ ab "))}
+    texts = [None, "", "12 !"] + ["".join(rng.choice("abcdexyzéßñ  1") for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in df.select("text", langid.predictor(spark, prototypes)(F.col("text")).alias("p")).collect():
+        v = brute_bundle(r.text)
+        if not v.any():
+            assert (r.p.lang_pred, r.p.score, r.p.cosine) == ("und", 0, 0)
+            continue
+        cosine = {lang: float(v @ p / np.linalg.norm(v)) for lang, p in prototypes.items()}
+        top = max(cosine.values())
+        assert abs(cosine[r.p.lang_pred] - top) < 1e-5 and abs(r.p.cosine - top) < 1e-5
+        assert abs(r.p.score - 1 / sum(np.exp(20 * (c - top)) for c in cosine.values())) < 1e-4
+
+
 # --- op2 ----------------------------------------------------------------------------------------------------------
 
 
@@ -651,6 +667,46 @@ def test_toxicity_held_out_accuracy(spark):
     assert toxicity.judge(df.limit(0), lab).count() == 0
 
 
+def test_scores_and_risk_match_brute_force(spark):
+    """Scores are the logistic of the bias and the distinct words' weights; the fit takes the written-out risk to a tenth."""
+    texts = [t for t in odd_texts() if t is None or len(t) < 400]
+    vocabulary = sorted({w for t in texts for w in ALNUM.findall(lower(t or ""))})[::3]
+    h, first = toxicity.distinct_words(*arrays.utf8(pa.array(vocabulary, pa.string())))
+    weight = dict(zip(vocabulary, np.random.default_rng(1).normal(size=len(vocabulary))))
+    order = np.argsort(h)
+    model = toxicity.Model(h[order], np.array([weight[w] for w in vocabulary])[order], -0.4)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for r in df.select("text", toxicity.score_with(spark, model)(F.col("text")).alias("score")).collect():
+        z = -0.4 + sum(weight.get(w, 0) for w in set(ALNUM.findall(lower(r.text or ""))))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(1, 40, 12).astype(np.uint64) * 977 + (1000 if k < 30 else 0)) for k in range(120)]
+    positive = np.arange(120) < 30
+    fitted = toxicity.fit_rows(rows, positive, 0.25)
+
+    def risk(w, b):
+        z = np.array([b + sum(w[i] for i, x in enumerate(fitted.words) if x in r) for r in rows])
+        down, up = np.log1p(np.exp(-z)), np.log1p(np.exp(z))
+        return 0.25 * down[positive].mean() + max(0, up[~positive].mean() - 0.25 * up[positive].mean()) + 0.015 / 30 * (w**2).sum() / 2
+
+    # where the risk's negative part is below 0 its gradient is undone, so the end is near the least, not at it
+    start = risk(np.zeros(len(fitted.words)), np.log(1 / 3))
+    assert len(fitted.words) and risk(fitted.weights, fitted.bias) < 0.1 * start
+
+
+def test_sample_is_bounded_by_ids_and_words(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_POSITIVE", 10)
+    monkeypatch.setattr(toxicity, "FIT_UNLABELLED", 20)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_rows", lambda rows, positive, prior: seen.append((rows, positive)) or toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), -30.0))
+    rows = [(7, f"bad words {k % 3}") for k in range(300)] + [(k, " ".join(f"w{j}" for j in range(4000)) if k == 8 else f"some text {k}") for k in range(8, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(30)], "doc_id long, toxic int")
+    toxicity.learn(docs, labels)
+    rows, positive = seen[0]
+    assert positive.sum() <= 10 and (~positive).sum() <= 20 and max(map(len, rows)) <= toxicity.FIT_WORDS
+
+
 # --- op10 ---------------------------------------------------------------------------------------------------------
 
 
@@ -700,3 +756,50 @@ def test_quality_rejects_wrong_words(spark):
 def test_js_distance():
     assert quality.js_distance(np.array([[1.0, 0], [0.5, 0.5]]), np.array([0.5, 0.5])).round(4).tolist() == [0.5579, 0.0]
     assert quality.js_distance(np.array([[1.0, 0]]), np.array([0.0, 1]))[0] == 1
+
+
+def test_verdict_matches_brute_force(spark):
+    """Classes, common words, distances, limits and guards, written out for each text."""
+    rng = random.Random(13)
+    kinds = {"en": ["the", "of", "and", "extraordinary", "x", "tree"], "ru": ["и", "в", "дерево", "не", "луна"], "ja": ["木", "月", "です", "テ"]}
+    rows = [(k, " ".join(rng.choice(kinds[lang]) for _ in range(rng.randint(5, 120))), lang, None, 0) for k in range(90) for lang in [("en", "ru", "ja")[k % 3]]]
+    rows += [(100 + k, " ".join(rng.choice(["|", "tree", "zzz", "Я1", "木x"]) for _ in range(80)), None, None, 0) for k in range(30)] + [(200, None, None, None, 0), (201, "", None, None, 0)]
+
+    def kind(c):
+        b = c.encode()[0]
+        if b >= 128:
+            return next(7 + i for i, end in enumerate((0xCD, 0xD0, 0xD5, 0xE0, 0xE2, 0xE3, 0xE4, 0xEA, 0xEE, 0x100)) if b < end)
+        if c in "\t\n\x0b\x0c\r ":
+            return 3
+        if b < 32 or b == 127:
+            return 6
+        return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 4 if c in ".,;:!?'\"()-" else 5
+
+    def shares(counts, keys):
+        total = max(1, sum(counts.values()))
+        return np.array([counts.get(k, 0) / total for k in keys])
+
+    refs = {}
+    for lang in kinds:
+        mine = [t for _, t, x, _, _ in rows if x == lang]
+        words = Counter(w for t in mine for w in ALNUM.findall(lower(t)))
+        assert len(words) <= quality.COMMON_WORDS
+        refs[lang] = (shares(Counter(kind(c) for t in mine for c in t), range(17)), sorted(words), words)
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k, t, _, _, _ in rows:
+        t = t or ""
+        chars, words = Counter(kind(c) for c in t), Counter(ALNUM.findall(lower(t)))
+        total = sum(words.values())
+        by_class = min(float(quality.js_distance(shares(chars, range(17))[None], p)[0]) for p, _, _ in refs.values()) if t else 0
+        far, nearest = True, 1.0
+        for _, keys, known in refs.values():
+            p = np.append([words.get(w, 0) for w in keys], total - sum(words.get(w, 0) for w in keys)) / max(1, total)
+            q = np.append(shares(known, keys), 0)
+            d = float(quality.js_distance(p[None], q)[0])
+            without = np.append(np.zeros(len(keys)), 1.0)
+            nearest = min(nearest, d)
+            far &= d > float(quality.js_distance(without[None], q)[0]) * (quality.WORD_SHARE + quality.WORD_NOISE / np.sqrt(max(1, total)))
+        r = got[k]
+        assert abs(r.class_distance - by_class) < 1e-9 and (not total or abs(r.word_distance - nearest) < 1e-9)
+        guarded = len(t) >= quality.GUARD_CHARS and r.n_words >= quality.GUARD_WORDS
+        assert r.kept == (not r.base_failed and not (guarded and (by_class > quality.MAX_CLASS_DISTANCE or (total > 0 and far))))
