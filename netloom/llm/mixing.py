@@ -24,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2
 CELL_ROWS = 2_000
+#: Sources whose cuts, some 200 bytes each, are sent to every task; more of them are joined by a shuffle.
+SENT_SOURCES = 100_000
 #: Ranges over which the sources are numbered.
 RANGES = 64
 
@@ -126,7 +128,8 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     cuts = _placed(rows, cell_rows).groupBy("source").agg(F.first("epochs").alias("epochs"), F.first("rest").alias("rest"), F.min(F.when(F.col("before") + total > F.col("rest"), cut)).alias("cut"))
     s, epochs, rest, at, extra, copies, own = fresh(docs, "source_", "epochs", "rest", "cut", "extra", "copies", "own")
     cuts = durable(cuts.select(F.col("source").alias(s), F.col("epochs").alias(epochs), F.col("rest").alias(rest), F.col("cut.place").alias(at), F.col("cut.extra").alias(extra)))
-    joined = docs.withColumn(own, F.struct(*_own(id_col, text_col))).join(cuts, col(source_col).eqNullSafe(F.col(s)))
+    few = cuts.limit(SENT_SOURCES + 1).count() <= SENT_SOURCES
+    joined = docs.withColumn(own, F.struct(*_own(id_col, text_col))).join(F.broadcast(cuts) if few else cuts, col(source_col).eqNullSafe(F.col(s)))
     kept = [c for c in docs.columns if c.lower() != "epoch"]
     whole = joined.withColumn(copies, F.col(epochs) + F.when((F.col(rest) > 0) & (F.col(at).isNull() | (F.col(own) < F.col(at))), 1).otherwise(0)).where(F.col(copies) > 0)
     whole = whole.select(*cols(kept), F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias("epoch"))
