@@ -42,7 +42,7 @@ def parse_options(values: list[str]) -> dict:
     """All options of a cost; each may be given once."""
     options = dict(map(cost_option, values))
     if len(options) < len(values):
-        raise ValueError("each cost option may be given once")
+        raise ValueError("a cost option is given twice")
     return options
 
 

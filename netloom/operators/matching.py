@@ -195,6 +195,31 @@ DEFAULTS: dict[CostName, dict] = {
 }
 
 
+#: Least and greatest value of the options that have bounds; a radius or weight without a row is any number from 0.
+RANGES: dict[str, tuple[float, float]] = {"edge_samples": (2, 10_000), "curve_samples": (2, 100_000), "corridor_radius": (1e-9, 1e6), "warping_window": (1, 100_000), "densify": (1e-9, 1)}
+
+
+@dataclass(frozen=True)
+class OptionSpec:
+    """What a form needs to ask for an option; ``kind`` is bool, int or float, bounds are of numbers only."""
+
+    name: str
+    kind: str
+    default: object
+    least: float | None
+    most: float | None
+
+
+def option_specs(name: str) -> list[OptionSpec]:
+    """The options of a cost, those of registered costs included."""
+    specs = []
+    for option, default in cost_options(name).items():
+        kind = "float" if default is None else type(default).__name__
+        bounds = RANGES.get(option, (0.0, 1e6)) if kind in ("int", "float") else (None, None)
+        specs.append(OptionSpec(option, kind, default, *bounds))
+    return specs
+
+
 @dataclass(frozen=True)
 class CustomCost:
     """A guided cost of one's own: ``value`` (source line, witness, **own options) gives a number of at least 0, or infinity."""

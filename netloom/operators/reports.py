@@ -27,6 +27,17 @@ def edge_statistics(edges: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def solution_rows(values: DataFrame, mapping: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row for each (pair_id, objective): feasible, value, numbers of mapped vertices and edges, and their cost statistics.
+
+    A pair without a solution has zero counts and null statistics.
+    """
+    keys = ["pair_id", "objective"]
+    mapped = mapping.groupBy(*keys).agg(F.count("*").alias("mapped_vertices"))
+    met = values.select(*keys, "feasible", "value").join(mapped, keys, "left").join(edge_statistics(edges, keys), keys, "left")
+    return met.fillna(0, ["mapped_vertices", "edges", "zero_edges", "positive_edges"])
+
+
 def representative_edges(edges: DataFrame, keys: list[str]) -> DataFrame:
     """For each group its best, lower-median positive and worst edge by (value, edge_id): (keys, role, edge_id, value)."""
     order = Window.partitionBy(*keys).orderBy("value", "edge_id")
@@ -115,6 +126,21 @@ def changed_vertices(base: DataFrame, other: DataFrame) -> DataFrame:
     return base.select("pair_id", "source_vertex", F.col("target_vertex").alias("was")).join(b, ["pair_id", "source_vertex"]).where("was <> to")
 
 
+def region_bounds(vertices: DataFrame, edges: DataFrame, matched: DataFrame, window: float = 155.0, margin: float = 28.0) -> DataFrame:
+    """(source_vertex, min_x, max_x, min_y, max_y): for each of ``vertices`` (source_vertex, x, y) a square for display, y down.
+
+    It holds the vertex, its ``edges`` (edge_id, u, v, polyline) and their witnesses in ``matched`` (edge_id, witness) of any
+    number of solutions, with a margin, and is no smaller than ``window``.
+    """
+    ends = edges.select("edge_id", F.explode(F.array_distinct(F.array("u", "v"))).alias("source_vertex"), "polyline").join(vertices.select("source_vertex"), "source_vertex", "left_semi")
+    drawn = ends.select("source_vertex", F.col("polyline").alias("line")).unionByName(ends.join(matched, "edge_id").select("source_vertex", F.col("witness").alias("line")))
+    points = drawn.select("source_vertex", F.inline("line")).unionByName(vertices.select("source_vertex", "x", "y"))
+    box = points.groupBy("source_vertex").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min(-F.col("y")).alias("y0"), F.max(-F.col("y")).alias("y1"))
+    half = F.greatest(F.lit(float(window)), F.col("x1") - F.col("x0") + margin, F.col("y1") - F.col("y0") + margin) / 2
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    return box.select("source_vertex", (x - half).alias("min_x"), (x + half).alias("max_x"), (y - half).alias("min_y"), (y + half).alias("max_y"))
+
+
 def farthest_points(points: list[tuple[int, float, float]], n: int) -> list[int]:
     """Ids of a farthest-first traversal from the first point; a figure's few regions, so on the driver."""
     left = {i: (x, y) for i, x, y in points}

@@ -15,7 +15,7 @@ from netloom.operators import prepare
 from netloom.operators import reports
 from netloom.plans import fixtures, studies
 from netloom.plans.matcher import Matcher
-from netloom.sources import graph_text
+from netloom.sources import graph_text, results
 
 RHO, K = 6.0, 25
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -651,6 +651,75 @@ def evaluate_mapping(spark, sf_dir):
     return found.select(*[F.round(c, 6).alias(c) for c in ("additive", "bottleneck", "length_weighted")], F.size("invalid_edge_ids").alias("invalid"))
 
 
+@query(f"""WITH {_RING}, b AS (SELECT * FROM al ORDER BY total, t0, t1, t2, t3, t4 LIMIT 1), m AS (SELECT unnest([0, 1, 2, 3, 4]) AS e, unnest([t0, t1, t2, t0, t2]) AS tu, unnest([t1, t2, t3, t3, t4]) AS tv FROM b)
+SELECT e AS edge_id, tu AS target_u, tv AS target_v, round(f, 6) AS value, round(d, 6) AS length FROM m JOIN fc USING (e, tu, tv) JOIN d{_HOPS} ON d{_HOPS}.f = tu AND d{_HOPS}.t = tv""".replace("round(f, 6)", "round(fc.f, 6)"))
+def solution_edges(spark, sf_dir):
+    """Edges of the optimum with their values and the lengths of their witnesses."""
+    found = _ring_task(spark, sf_dir).match(m.create_cost("relative_length_error")).edges
+    return found.select("edge_id", "target_u", "target_v", F.round("value", 6).alias("value"), F.round(geo.length(F.col("witness")), 6).alias("length"))
+
+
+@query(f"WITH {_RING} SELECT 'additive' AS objective, round(min(total), 6) AS value, true AS ok FROM al UNION ALL SELECT 'bottleneck', round(min(worst), 6), true FROM al")
+def match_both(spark, sf_dir):
+    """Two objectives in one traversal, recomputed from the edges of their solutions."""
+    task = _ring_task(spark, sf_dir)
+    return task.check(task.match_both(m.create_cost("relative_length_error"))).select("objective", F.round("realised", 6).alias("value"), "ok")
+
+
+@query(f"""WITH {_RING}, b AS (SELECT * FROM al ORDER BY total LIMIT 1), m AS (SELECT unnest([0, 1, 2, 3, 4]) AS e, unnest([t0, t1, t2, t0, t2]) AS tu, unnest([t1, t2, t3, t3, t4]) AS tv FROM b), c AS (SELECT fc.f FROM m JOIN fc USING (e, tu, tv))
+SELECT 'additive' AS objective, true AS feasible, round(sum(f), 6) AS value, CAST(5 AS BIGINT) AS mapped_vertices, count(*) AS edges, round(min(f), 6) AS least, round(quantile_cont(f, 0.5), 6) AS median, round(max(f), 6) AS most, CAST(count_if(f > 1e-12) AS BIGINT) AS positive_edges FROM c""")
+def solution_rows(spark, sf_dir):
+    found = _ring_task(spark, sf_dir).match(m.create_cost("relative_length_error"))
+    rows = reports.solution_rows(found.values, found.mapping, found.edges)
+    return rows.select("objective", "feasible", *[F.round(c, 6).alias(c) for c in ("value", "least", "median", "most")], "mapped_vertices", "edges", "positive_edges")
+
+
+@query("""SELECT 'n' || n_nationkey AS graph, CASE n_nationkey % 8 WHEN 1 THEN 'Line 1: the vertex count must be an integer' WHEN 2 THEN 'Line 1: the vertex count must not be negative' WHEN 3 THEN 'a vertex id is repeated' WHEN 4 THEN 'an edge id is repeated'
+  WHEN 5 THEN 'the file ends among its edges' WHEN 6 THEN 'Line 7: content after the last edge' WHEN 7 THEN 'Line 5: coordinates come in pairs' END AS error FROM nation""")
+def graph_text_errors(spark, sf_dir):
+    """A graph for each nation, most with one of seven faults."""
+    kind = F.col("n_nationkey") % 8
+    count = F.when(kind == 1, "two").when(kind == 2, "-2").otherwise("2")
+    second = F.when(kind == 3, "1 5 5").otherwise("2 5 5")
+    last = F.when(kind == 4, "10 2 1 0\n").when(kind == 5, "").when(kind == 6, "11 2 1 0\nmore\n").otherwise("11 2 1 0\n")
+    first = F.when(kind == 7, "10 1 2 0 1 1 2").otherwise("10 1 2 0 1 1")
+    text = F.concat(count, F.lit("\n1 0 0\n"), second, F.lit("\n2\n"), first, F.lit("\n"), last)
+    files = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("n"), "n_nationkey").alias("graph"), text.alias("text"))
+    return graph_text.parse(files).select("graph", "error")
+
+
+@query(f"""{_REACH}, ce AS (SELECT c, count(*) AS n FROM te JOIN co ON co.v = u GROUP BY 1), cv AS (SELECT c, count(*) AS n FROM co GROUP BY 1),
+b AS (SELECT cv.c FROM cv LEFT JOIN ce USING (c) ORDER BY cv.n DESC, coalesce(ce.n, 0) DESC, c LIMIT 1)
+SELECT row_number() OVER (ORDER BY te.e, te.u, te.v) - 1 AS edge_id, te.u, te.v, round(length, 6) AS length FROM te JOIN nl USING (e) JOIN co ON co.v = te.u JOIN b USING (c)""")
+def embedded_graph(spark, sf_dir):
+    """The largest raw component, uncompressed, its edges numbered anew."""
+    v, e = _thin(spark, sf_dir)
+    found = prepare.embedded_graphs(v, e.withColumnRenamed("polyline", "path"))[1]
+    return found.select("edge_id", "u", "v", F.round(geo.length(F.col("polyline")), 6).alias("length"))
+
+
+@query(f"WITH {_NET} SELECT s AS source_vertex, e AS edge_id, round(sqrt(min({_D2})), 6) AS distance, round(sqrt(power(greatest(min(least(sx, sx + vx)) - px, 0, px - max(greatest(sx, sx + vx))), 2) + power(greatest(min(least(sy, sy + vy)) - py, 0, py - max(greatest(sy, sy + vy))), 2)), 6) AS bound FROM sp, ns GROUP BY s, e, px, py")
+def point_distances(spark, sf_dir):
+    """Of five points from all lines of the network, with the lower bounds of the lines' boxes."""
+    e = fixtures.net_edges(spark, sf_dir).select("edge_id", "polyline", *[f("polyline." + c).alias(n) for f, c, n in ((F.array_min, "x", "x0"), (F.array_min, "y", "y0"), (F.array_max, "x", "x1"), (F.array_max, "y", "y1"))])
+    p = fixtures.path_vertices(spark, sf_dir).select(F.col("vertex_id").alias("source_vertex"), F.col("x").alias("px"), F.col("y").alias("py"))
+    met = e.join(F.broadcast(p))  # five points
+    at = (F.col("px"), F.col("py"))
+    return met.select("source_vertex", "edge_id", F.round(geo.point_to_polyline(*at, F.col("polyline")), 6).alias("distance"), F.round(geo.box_lower_bound(*at, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), 6).alias("bound"))
+
+
+@query(f"WITH {_NET} SELECT min(x) AS min_x, min(-y) AS min_y, max(x) AS max_x, max(-y) AS max_y FROM nv")
+def flipped_bounds(spark, sf_dir):
+    return prepare.flipped_bounds(fixtures.net_vertices(spark, sf_dir)).drop("graph")
+
+
+@query(f"WITH {_CURVES} SELECT user_id, 2 * count(*) - 1 AS points, round(2 * any_value(total), 4) AS length FROM tp JOIN ttot USING (user_id) GROUP BY 1")
+def polyline_concat(spark, sf_dir):
+    """Each line and its way back, the seam once."""
+    line = geo.concat(F.col("line"), geo.reverse(F.col("line")))
+    return fixtures.curves(spark, sf_dir).select("user_id", line.alias("p")).select("user_id", F.size("p").cast("long").alias("points"), F.round(geo.length(F.col("p")), 4).alias("length"))
+
+
 # --- reports ------------------------------------------------------------------------------------------------------------
 
 
@@ -737,3 +806,64 @@ def timing_summary(spark, sf_dir):
     return found.select(*[F.round(c, 6).alias(c) if c in ("q25", "median", "mean", "q75", "deviation") else F.col(c) for c in found.columns])
 
 
+
+
+@query("SELECT o_custkey AS pair_id, o_orderpriority AS cost, o_orderkey AS rho FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) = 1")
+def graph_pairs(spark, sf_dir):
+    """The first run of each pair by cost and radius."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return reports.graph_pairs(o.select(F.col("o_custkey").alias("pair_id"), F.col("o_orderpriority").alias("cost"), F.col("o_orderkey").alias("rho")))
+
+
+@query(f"""WITH {_ITEMS}, w AS (SELECT run_id, objective, value * 100 AS value FROM it), g AS (SELECT run_id, objective, min(value) AS lo, max(value) AS hi, least(greatest(floor(sqrt(count(*))), 5), 30) AS n FROM w GROUP BY 1, 2)
+SELECT run_id, objective, CAST(CASE WHEN hi > lo THEN least(floor((value - lo) / (hi - lo) * n), n - 1) ELSE 0 END AS BIGINT) AS bin, count(*) AS edges FROM w JOIN g USING (run_id, objective) GROUP BY ALL""")
+def histogram(spark, sf_dir):
+    return reports.histogram(_items(spark, sf_dir).withColumn("value", F.col("value") * 100), ["run_id", "objective"]).withColumn("bin", F.col("bin").cast("long"))
+
+
+@query("SELECT 'p' || o_custkey % 9 AS pair_id, o_orderkey AS source_vertex, o_custkey AS was, o_custkey + o_orderkey % 3 AS becomes FROM orders WHERE o_orderkey % 3 <> 0")
+def changed_vertices(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    base = o.select(F.concat(F.lit("p"), F.col("o_custkey") % 9).alias("pair_id"), F.col("o_orderkey").alias("source_vertex"), F.col("o_custkey").alias("target_vertex"))
+    return reports.changed_vertices(base, base.withColumn("target_vertex", F.col("target_vertex") + F.col("source_vertex") % 3)).withColumnRenamed("to", "becomes")
+
+
+@query(f"""WITH {_NET}, ae AS (SELECT v AS i, e FROM ne UNION ALL SELECT u, e FROM ne), p AS (SELECT i, x1 AS x, y1 AS y FROM ae JOIN ne USING (e) UNION ALL SELECT i, xm, ym FROM ae JOIN ne USING (e) UNION ALL SELECT i, x2, y2 FROM ae JOIN ne USING (e)
+  UNION ALL SELECT i, x1 + 3 * e, y1 FROM ae JOIN ne USING (e) UNION ALL SELECT v, x, y FROM nv), b AS (SELECT i, min(x) AS x0, max(x) AS x1, min(-y) AS y0, max(-y) AS y1 FROM p WHERE i % 3 = 0 GROUP BY 1), h AS (SELECT *, greatest(40, x1 - x0 + 28, y1 - y0 + 28) / 2 AS h FROM b)
+SELECT i AS source_vertex, round((x0 + x1) / 2 - h, 6) AS min_x, round((x0 + x1) / 2 + h, 6) AS max_x, round((y0 + y1) / 2 - h, 6) AS min_y, round((y0 + y1) / 2 + h, 6) AS max_y FROM h""")
+def region_bounds(spark, sf_dir):
+    """Squares around every third vertex; the witnesses are one point of each edge moved by three times its number."""
+    v, e = fixtures.net_vertices(spark, sf_dir), fixtures.net_edges(spark, sf_dir)
+    first = F.element_at("polyline", 1)
+    moved = e.select("edge_id", F.array(geo.point(first["x"] + F.col("edge_id") * 3, first["y"])).alias("witness"))
+    found = reports.region_bounds(v.where("vertex_id % 3 = 0").select(F.col("vertex_id").alias("source_vertex"), "x", "y"), e, moved, 40.0)
+    return found.select("source_vertex", *[F.round(c, 6).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")])
+
+
+@query(f"WITH {_ITEMS} SELECT run_id || objective AS name, source_vertex, min(target_vertex) AS target_vertex FROM it GROUP BY 1, 2")
+def saved_mappings(spark, sf_dir):
+    """Mappings written as JSON documents, every other one as an object, and read again."""
+    both = _mappings(spark, sf_dir).select(F.concat("run_id", "objective").alias("name"), "run_id", F.struct("source_vertex", "target_vertex").alias("p")).groupBy("name", "run_id").agg(F.collect_list("p").alias("mapping"))
+    as_object = F.to_json(F.struct(F.map_from_entries(F.transform("mapping", lambda p: F.struct(p["source_vertex"].cast("string").alias("key"), p["target_vertex"].alias("value")))).alias("mapping")))
+    texts = both.select("name", F.when(F.col("run_id") % 2 == 0, as_object).otherwise(F.to_json(F.struct("mapping"))).alias("json"))
+    return results.read_mappings(texts)
+
+
+@query("SELECT 'd' || n_nationkey AS name, n_nationkey AS edge_id, n_regionkey AS cost, 2 AS points FROM nation UNION ALL SELECT 'd' || n_nationkey, n_nationkey + 1000, n_regionkey, 3 FROM nation WHERE n_nationkey % 2 = 0")
+def saved_edges(spark, sf_dir):
+    """Two edges a document, the second with an unusable witness in every other one."""
+    n = F.col("n_nationkey").cast("string")
+    one = F.concat(F.lit('{"edge_id":'), n, F.lit(',"source_u":0,"source_v":1,"target_u":2,"target_v":3,"cost":'), F.col("n_regionkey").cast("string"), F.lit(',"witness":[[0,0],[1,1]]}'))
+    other = F.concat(F.lit('{"edge_id":'), (F.col("n_nationkey") + 1000).cast("string"), F.lit(',"cost":'), F.col("n_regionkey").cast("string"), F.lit(',"witness":'), F.when(F.col("n_nationkey") % 2 == 0, "[[0,0],[1,1],[2,0]]").otherwise("[[0,0]]"), F.lit("}"))
+    texts = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("d"), n).alias("name"), F.concat(F.lit('{"edges":['), one, F.lit(',7,'), other, F.lit("]}")).alias("json"))
+    return results.read_saved_edges(texts).select("name", "edge_id", F.col("cost").cast("long").alias("cost"), F.size("witness").alias("points"))
+
+
+@query("SELECT 'd' || n_nationkey AS name, unnest(['source', 'target']) AS role, unnest(['g' || n_nationkey, 'g' || n_regionkey]) AS graph FROM nation")
+def resolved_graphs(spark, sf_dir):
+    """Documents that know their source by path and their target by name and counts."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    known = n.select(F.concat(F.lit("g"), "n_nationkey").alias("graph"), F.concat(F.lit("/in/g"), "n_nationkey", F.lit(".txt")).alias("path"), F.col("n_nationkey").cast("long").alias("vertices"), F.lit(1).cast("long").alias("edges"))
+    source = F.struct(F.concat(F.lit("/in/g"), "n_nationkey", F.lit(".txt")).alias("path"))
+    target = F.struct(F.concat(F.lit("g"), "n_regionkey").alias("name"), F.col("n_regionkey").alias("vertices"), F.lit(1).alias("edges"))
+    return results.resolve_graphs(n.select(F.concat(F.lit("d"), "n_nationkey").alias("name"), F.to_json(F.struct(source.alias("source"), target.alias("target"))).alias("json")), known)

@@ -21,6 +21,17 @@ def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.url_decode(name).alias("graph"), F.col("value").alias("text"))
 
 
+def read_directory(spark: SparkSession, path: str, least: int = 2) -> DataFrame:
+    """(graph, text) of a folder's ``.txt`` files; fewer than ``least``, or two of one name, is an error."""
+    files = read_files(spark, f"{path.rstrip('/')}/*.txt")
+    n = files.agg(F.count("*").alias("files"), F.countDistinct("graph").alias("names")).first()
+    if n["files"] < least:
+        raise ValueError(f"{path} has {n['files']} graph files, {least} are needed")
+    if n["names"] < n["files"]:
+        raise ValueError(f"{path} has graph files of one name")
+    return files
+
+
 def _message(line: Column, text: str) -> Column:
     return F.concat(F.lit("Line "), line["no"].cast("string"), F.lit(f": {text}"))
 

@@ -70,3 +70,40 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def slug(name):
     """Lower-case letters and digits, all else as single underscores."""
     return F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def read_saved_edges(texts: DataFrame, key: str = "name", json_col: str = "json") -> DataFrame:
+    """(key, edge_id, source_u, source_v, target_u, target_v, cost, witness) from JSON with a list ``edges``.
+
+    Each entry is read by itself: one without a witness of at least two points is left out, and so is a list that is none.
+    """
+    listed = F.from_json(F.get_json_object(json_col, "$.edges"), T.ArrayType(T.StringType()))
+    one = texts.select(key, F.explode(listed).alias("_entry")).select(key, F.from_json("_entry", _EDGE).alias("_edge")).select(key, "_edge.*")
+    drawn = (F.size("witness") >= 2) & F.forall("witness", lambda p: (F.size(p) == 2) & F.forall(p, lambda x: x.isNotNull()))
+    return one.where(F.col("edge_id").isNotNull() & F.coalesce(drawn, F.lit(False)))
+
+
+def resolve_graphs(texts: DataFrame, known: DataFrame, key: str = "name", json_col: str = "json") -> DataFrame:
+    """(key, role, graph): which of the ``known`` graphs (graph, path, vertices, edges) a document's source and target are.
+
+    The one of the document's path, else the only one of its name or file name whose counts are those given. None, or
+    several of that kind, is an error.
+    """
+    def side(role: str):
+        at = {c: F.get_json_object(json_col, f"$.{role}.{c}") for c in ("name", "path", "vertices", "edges")}
+        return F.struct(F.lit(role).alias("role"), at["name"].alias("g"), at["path"].alias("p"), at["vertices"].cast("long").alias("nv"), at["edges"].cast("long").alias("ne"))
+
+    def file(path):
+        return F.substring_index(F.translate(path, "\\", "/"), "/", -1)
+
+    asked = texts.select(key, F.inline(F.array(side("source"), side("target"))))
+    have = known.select("graph", F.col("path").alias("kp"), F.col("vertices").alias("kv"), F.col("edges").alias("ke"))
+    counted = (F.col("nv").isNull() | (F.col("nv") == F.col("kv"))) & (F.col("ne").isNull() | (F.col("ne") == F.col("ke")))
+    by_path = asked.join(have, F.col("p") == F.col("kp")).select(key, "role", "graph", F.lit(True).alias("exact"))
+    by_name = asked.join(have, F.col("g") == F.col("graph")).where(counted).select(key, "role", "graph", F.lit(False).alias("exact"))
+    by_file = asked.join(have, file(F.col("p")) == file(F.col("kp"))).where(counted).select(key, "role", "graph", F.lit(False).alias("exact"))
+    other = F.when(~F.col("exact"), F.col("graph"))
+    best = by_path.unionByName(by_name).unionByName(by_file).groupBy(key, "role").agg(F.min(F.when(F.col("exact"), F.col("graph"))).alias("sure"), F.min(other).alias("least"), F.max(other).alias("most"))
+    met = asked.select(key, "role").join(best, [key, "role"], "left")
+    found = F.coalesce("sure", F.when(F.col("least") == F.col("most"), F.col("least")), F.raise_error(F.concat(key, F.lit(": its "), F.col("role"), F.lit(" graph is not known"))).cast("string"))
+    return met.select(key, "role", found.alias("graph"))

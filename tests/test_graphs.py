@@ -9,6 +9,7 @@ from netloom.functions import geometry as geo
 from netloom.functions import kernels
 from netloom.operators import prepare
 from netloom.operators.components import AT_ONCE, connected_components
+from netloom.plans.repository import Repository
 from netloom.sources import graph_text, results
 
 V = "graph string, vertex_id long, x double, y double"
@@ -176,6 +177,37 @@ def test_saved_mappings(spark):
             results.read_mappings(spark.createDataFrame([("a", bad)], "name string, json string")).collect()
 
 
+def test_saved_edges_and_graphs(spark):
+    docs = spark.createDataFrame([("a", '{"source": {"name": "s", "vertices": 3}, "target": {"path": "/x/t.txt"}, "edges": [{"edge_id": 1, "witness": [[0, 0], [1, 2]]}, {"edge_id": 2, "witness": [[0, 0]]}, "x", {"edge_id": 3}]}'), ("b", '{"edges": 5}')], "name string, json string")
+    assert [(r.name, r.edge_id) for r in results.read_saved_edges(docs).collect()] == [("a", 1)]
+    one = docs.where("name = 'a'")
+    known = [("s", "/y/s.txt", 3, 2), ("t", "/x/t.txt", 9, 9), ("t2", "/z/t.txt", 9, 9)]
+    have = "graph string, path string, vertices long, edges long"
+    found = results.resolve_graphs(one, spark.createDataFrame(known, have)).collect()
+    assert {(r.role, r.graph) for r in found} == {("source", "s"), ("target", "t")}
+    for bad in ([k for k in known if k[0] != "s"], [("s", "/y/s.txt", 4, 2), *known[1:]], [known[0], ("t2", "/z/t.txt", 9, 9), ("t3", "/w/t.txt", 9, 9)]):
+        with pytest.raises(Exception, match="graph is not known"):
+            results.resolve_graphs(one, spark.createDataFrame(bad, have)).collect()
+
+
+def test_repository(spark, tmp_path):
+    (tmp_path / "one.txt").write_text(GOOD)
+    with pytest.raises(ValueError, match="1 graph files"):
+        graph_text.read_directory(spark, str(tmp_path))
+    held = Repository(spark)
+    first = held.load(str(tmp_path), "original")
+    assert held.load(str(tmp_path), "original") is first and first[1].count() == 2
+    (tmp_path / "two.txt").write_text(GOOD)
+    assert graph_text.read_directory(spark, str(tmp_path)).count() == 2
+    second = held.load(str(tmp_path), "original")
+    assert second is not first and {r.graph for r in second[0].collect()} == {"one", "two"}
+    assert held.load(str(tmp_path))[1].count() == 4
+    with pytest.raises(ValueError, match="variant"):
+        held.load(str(tmp_path), "other")
+    held.clear()
+    assert held.load(str(tmp_path), "original") is not second
+
+
 def test_csv_and_suites(spark, tmp_path):
     df = spark.createDataFrame([("Ä b--C", [1, 2], {"k": 1})], "n string, l array<int>, m map<string, int>")
     results.write_csv(df, str(tmp_path / "csv"))

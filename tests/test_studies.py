@@ -116,3 +116,10 @@ def test_edge_without_a_segment_is_an_error(spark):
     with pytest.raises(Exception, match="no usable segment"):
         cand.edge_radius_candidates(one_pair(spark), v, e, 1.0, 5).collect()
     assert cand.segments(e, strict=False).where(F.col("graph") == "T").count() == 0
+
+
+def test_option_specs():
+    specs = {s.name: s for s in m.option_specs("dynamic_time_warping_distance")}
+    assert (specs["warping_window"].kind, specs["warping_window"].default, specs["warping_window"].least) == ("int", 8, 1)
+    assert specs["normalize"].kind == "bool" and specs["normalize"].least is None and specs["rho"].kind == "float"
+    assert m.option_specs("relative_length_error") == []
